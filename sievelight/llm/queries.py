@@ -44,3 +44,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import bpe
 
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file(), public_tokenizers.PATTERN)
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import simhash
+
+    return simhash.edited_pairs(table(spark, sf_dir, "documents"))
