@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +52,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import simhash
 
     return simhash.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query("op7_compress")
+def op7_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import compress
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = compress.fit(docs, labels.where(~held_out))
+    return compress.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
