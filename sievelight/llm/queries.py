@@ -62,3 +62,11 @@ def op7_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = compress.fit(docs, labels.where(~held_out))
     return compress.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_rules")
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import crf
+
+    docs = table(spark, sf_dir, "documents")
+    return crf.judge(docs, crf.fit(docs, table(spark, sf_dir, "labels")))
