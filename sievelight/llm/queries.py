@@ -82,3 +82,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = chat.branches(messages)
     formatted = chat.format_branches(path.join(messages.drop("parent"), ["tree", "node"]))
     return chat.read_back(formatted).withColumnRenamed("tree", "conv_id")
+
+
+@query("op2_jaccard")
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import jaccard
+
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
