@@ -89,3 +89,12 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import jaccard
 
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
+
+
+@query("op4_kneser_ney")
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import kneser
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(kneser.fold() == 1, F.lit(False))
+    return kneser.score(docs, kneser.count(docs.where(~held_out))).withColumn("held_out", held_out)
