@@ -98,3 +98,16 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(kneser.fold() == 1, F.lit(False))
     return kneser.score(docs, kneser.count(docs.where(~held_out))).withColumn("held_out", held_out)
+
+
+def _line_oracle() -> str:
+    from sievelight.llm import lines
+
+    return lines.ORACLE
+
+
+@query("op6_lines", _line_oracle())
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import lines
+
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
