@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.llm import bloom
 from sievelight.llm.graph import components
 from sievelight.llm.hashing import U, Words, batches, grams, mix
 from sievelight.llm.scratch import Scratch
 
 SLICE_BYTES = 2_000_000
-#: Counters of the sketch (2 MB), and bits of the filter of posted classes (8 MB).
+#: Counters of the sketch (2 MB).
 SKETCH = 1 << 18
 SKETCH_BLOCKS = 16
-FILTER = 1 << 26
 #: Classes of one tile, and n-grams of the classes that one exact task holds.
 TILE = 4096
 EXACT_GRAMS = 12_000_000
@@ -227,53 +227,19 @@ def _postings(docs: DataFrame, text_col: str, n: int, t: Threshold, sketch: np.n
     return docs.select(text_col).mapInArrow(run, "gram bigint, class bigint, size int, index boolean")
 
 
-def _filter_bits(classes: DataFrame) -> np.ndarray:
-    """Bloom filter of fixed size, OR-ed together from the tasks' parts."""
-
-    def positions(h: np.ndarray) -> np.ndarray:
-        return np.concatenate([(mix(h + U(k)) & U(FILTER - 1)).astype(np.int64) for k in (1, 2, 3)])
-
-    blocks = 64
-    span = FILTER // blocks
-
-    def build(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER, dtype=bool)
-        any_row = False
-        for batch in stream:
-            any_row = True
-            bits[positions(batch.column(0).to_numpy().astype(np.uint64))] = True
-        if any_row:
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([zlib.compress(np.packbits(bits[i * span : (i + 1) * span]).tobytes(), 1) for i in range(blocks)], pa.binary())], ["block", "bits"])
-
-    def merge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in stream:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
-                total[block] = total[block] | part if block in total else part
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "bits"])
-
-    out = np.zeros((blocks, span // 8), dtype=np.uint8)
-    for r in classes.mapInArrow(build, "block int, bits binary").repartition(blocks, "block").mapInArrow(merge, "block int, bits binary").collect():
-        out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out.ravel()
-
-
 def _sets(docs: DataFrame, text_col: str, n: int, classes: DataFrame) -> DataFrame:
     """(class, size, map, grams) of the classes that share a posting; the filter lets a few others through, which no join meets."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(classes))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(classes))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for _, texts in batches(stream, SLICE_BYTES):
             rows = []
-            for s in shingles(texts, n):
-                if len(s) < 2:
-                    continue
-                d = digest(s)
-                at = [int(mix(np.array([d], dtype=np.int64).astype(np.uint64) + U(k))[0] & U(FILTER - 1)) for k in (1, 2, 3)]
-                if d in seen or not all(shared.value[p >> 3] >> (7 - (p & 7)) & 1 for p in at):
+            sets = [s for s in shingles(texts, n) if len(s) > 1]
+            digests = [digest(s) for s in sets]
+            passed = bloom.contains(shared.value, np.array(digests, dtype=np.int64))
+            for s, d, ok in zip(sets, digests, passed.tolist(), strict=True):
+                if not ok or d in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(d)

@@ -111,3 +111,10 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import lines
 
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_gear")
+def op8_gear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import gear
+
+    return gear.dedup(table(spark, sf_dir, "documents"), with_text=False)
