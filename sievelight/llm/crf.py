@@ -221,6 +221,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 400, text_chars: in
     return train(measure([t.encode() for t, _ in rows]), y)
 
 
+def verdicts(lines: Lines, field: Field, min_words: int, most_repeated: float, min_content: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base_failed, content_words, kept) of each text."""
+    content = field.content_words(lines)
+    failed = (lines.n_words < min_words) | (100 * lines.n_repeat_words > round(100 * most_repeated) * lines.n_words)
+    return failed, content, ~failed & (content >= min_content * lines.n_words)
+
+
+def keep(docs: DataFrame, field: Field, text_col: str = "text", min_words: int = 50, most_repeated: float = 0.5, min_content: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, in one pass and without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    names, last = docs.columns, "__text"
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(stream, SLICE_BYTES):
+            *_, kept = verdicts(measure(texts), shared.value, min_words, most_repeated, min_content)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(kept))
+
+    return docs.select("*", F.col(text_col).alias(last)).mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, most_repeated: float = 0.5, min_content: float = 0.5) -> DataFrame:
     """Counts and verdict of every row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_words, kept."""
     kind = dict(docs.dtypes)[id_col]
@@ -230,9 +250,7 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(stream, SLICE_BYTES):
             lines = measure(texts)
-            content = shared.value.content_words(lines)
-            failed = (lines.n_words < min_words) | (100 * lines.n_repeat_words > round(100 * most_repeated) * lines.n_words)
-            kept = ~failed & (content >= min_content * lines.n_words)
+            failed, content, kept = verdicts(lines, shared.value, min_words, most_repeated, min_content)
             cols = [lines.n_words, lines.word_chars, lines.n_symbols, lines.n_dup_lines, lines.n_repeat_words, failed, content, kept]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in cols)], [id_col, *names])
 

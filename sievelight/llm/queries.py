@@ -118,3 +118,27 @@ def op8_gear(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import gear
 
     return gear.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+#: Target mixture: sources alike, languages and topics by share.
+MIXTURE = {
+    "source": {f"src{i}": 0.05 for i in range(20)},
+    "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
+    "topic": {f"t{i}": 0.125 for i in range(8)},
+}
+#: Share of all words that the sample is to have.
+SAMPLE_SHARE = 0.5
+
+
+@query("op3_mix")
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import mix
+
+    return mix.sample(table(spark, sf_dir, "documents"), MIXTURE, SAMPLE_SHARE)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
