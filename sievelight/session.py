@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,22 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(folder, n)
                     z.write(path, os.path.relpath(path, os.path.dirname(here)))
     spark.sparkContext.addPyFile(target)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset (tests, one machine) a temporary folder, which is then set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="sievelight-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def save(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table and reads it back, which cuts its lineage."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/sievelight-{uuid.uuid4().hex}"
