@@ -93,9 +93,11 @@ def branches(messages: DataFrame, top: int | None = 1, tree: str = "tree", node:
     levels = [scratch.save(first)]
     total = levels[0].count()
     while levels[-1].where(F.col("up").isNotNull()).limit(1).count() and 2 ** (len(levels) - 1) <= total:
-        a = levels[-1]
-        b = a.select("t", F.col("n").alias("up"), F.col("up").alias("up2"), F.col("s").alias("s2"), F.col("d").alias("d2"))
-        levels.append(scratch.save(a.join(b, ["t", "up"], "left").select("t", "n", F.col("up2").alias("up"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))))
+        # only messages that have not reached their root are joined; the others stay as they are
+        state = levels[-1]
+        there = state.select("t", F.col("n").alias("up"), F.col("up").alias("up2"), F.col("s").alias("s2"), F.col("d").alias("d2"))
+        moved = state.where(F.col("up").isNotNull()).join(there, ["t", "up"]).select("t", "n", F.col("up2").alias("up"), (F.col("s") + F.col("s2")).alias("s"), (F.col("d") + F.col("d2")).alias("d"))
+        levels.append(scratch.save(moved.unionByName(state.where(F.col("up").isNull()))))
     done = levels[-1].where(F.col("up").isNull())
     parents = levels[0].where(F.col("up").isNotNull()).select("t", F.col("up").alias("n"))
     order = Window.partitionBy("t").orderBy(F.desc("s"), F.desc("d"), "n")
