@@ -598,3 +598,11 @@ def page_extract(spark, d):
 def age_range(spark, d):
     high = F.when(F.col("max_age") >= 999, "no max").otherwise(F.col("max_age").cast("int").cast("string"))
     return trial(spark, d).select("doc", F.concat(F.col("min_age").cast("int").cast("string"), F.lit("-"), high, F.lit(" y, "), F.col("gender")).alias("label"), F.substring("title", 1, 90).alias("title"))
+
+
+@query("events_dedup_window", "SELECT date_trunc('day', ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events ORDER BY event_id) GROUP BY 1, 2")
+def events_dedup_window(spark, d):
+    from sievelight.streaming.notes import event_windows
+
+    out = event_windows(table(spark, d, "events"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
