@@ -34,10 +34,10 @@ from sievelight.llm.graph import components
 from sievelight.llm.hashing import U, Words, batches, grams, mix
 from sievelight.llm.scratch import Scratch
 
-SLICE_BYTES = 2_000_000
-#: Counters of the sketch (2 MB).
-SKETCH = 1 << 18
-SKETCH_BLOCKS = 16
+SLICE_BYTES = 1_000_000
+#: Counters of the sketch (16 MB).
+SKETCH = 1 << 22
+SKETCH_BLOCKS = 64
 #: Classes of one tile, and n-grams of the classes that one exact task holds.
 TILE = 4096
 EXACT_GRAMS = 12_000_000
@@ -167,13 +167,14 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int, scratch: Scrat
     kind = dict(docs.dtypes)[id_col]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, dtype=np.int64)
+        counts = np.zeros(SKETCH, dtype=np.uint32)
         names = ["kind", "id", "size", "class", "counts"]
         id_type = None
         for batch, texts in batches(stream, SLICE_BYTES):
             sets = shingles(texts, n)
             id_type = batch.column(0).type
-            counts += np.bincount((np.concatenate(sets) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            slots, times = np.unique(np.concatenate(sets) & U(SKETCH - 1), return_counts=True)
+            counts[slots.astype(np.int64)] += times.astype(np.uint32)
             size = len(sets)
             yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(size, pa.binary())], names)
         if id_type is not None:
@@ -190,21 +191,21 @@ def _sketch(members: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in stream:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(raw), dtype=np.int64)
+                part = np.frombuffer(zlib.decompress(raw), dtype=np.uint32).astype(np.int64)
                 total[block] = total[block] + part if block in total else part
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["size", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes() for v in total.values()], pa.binary())], ["size", "counts"])
 
-    out = np.zeros((SKETCH_BLOCKS, SKETCH // SKETCH_BLOCKS), dtype=np.int64)
+    out = np.zeros((SKETCH_BLOCKS, SKETCH // SKETCH_BLOCKS), dtype=np.uint32)
     for r in members.where("kind = 1").select("size", "counts").repartition(SKETCH_BLOCKS, "size").mapInArrow(run, "size bigint, counts binary").collect():
-        out[r["size"]] = np.frombuffer(r["counts"], dtype=np.int64)
+        out[r["size"]] = np.frombuffer(r["counts"], dtype=np.uint32)
     return out.ravel()
 
 
 def _postings(docs: DataFrame, text_col: str, n: int, t: Threshold, sketch: np.ndarray) -> DataFrame:
     """(gram, class, size, index) of the rarest n-grams of each class, once a task."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.minimum(sketch, 2**32 - 1).astype(np.uint32))
+    shared = spark.sparkContext.broadcast(sketch)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
@@ -227,6 +228,25 @@ def _postings(docs: DataFrame, text_col: str, n: int, t: Threshold, sketch: np.n
     return docs.select(text_col).mapInArrow(run, "gram bigint, class bigint, size int, index boolean")
 
 
+def _partnered(postings: DataFrame, t: Threshold) -> DataFrame:
+    """The postings, once a class, that some other class of the n-gram could be linked through: one whose size allows it, the smaller of the two having the n-gram in its index prefix.
+
+    All windows share one shuffle and sort.
+    """
+    w = Window.partitionBy("gram").orderBy("size", "class")
+    once = postings.withColumn("before", F.lag("class").over(w)).where(F.col("before").isNull() | (F.col("before") != F.col("class")))
+    smaller = F.max(F.when(F.col("index"), F.col("size"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    larger = F.lead("size").over(w)
+    rows = once.select("gram", "class", "size", "index", smaller.alias("smaller"), larger.alias("larger"))
+    fits = (F.col("smaller") * 100 >= F.col("size") * t.percent) | (F.col("index") & (F.col("size") * 100 >= F.col("larger") * t.percent))
+    rows = rows.where(fits).select("gram", "class", "size")
+    # N-grams with the same classes make the same tile, which is looked at once: its
+    # key is a digest of its members (two tiles under one key would only be joined).
+    members = Window.partitionBy("gram")
+    key = F.xxhash64(F.count(F.lit(1)).over(members), F.bit_xor(F.xxhash64("class")).over(members), F.bit_xor(F.xxhash64(F.lit(1), "class")).over(members))
+    return rows.select(key.alias("gram"), "class", "size").distinct()
+
+
 def _sets(docs: DataFrame, text_col: str, n: int, classes: DataFrame) -> DataFrame:
     """(class, size, map, grams) of the classes that share a posting; the filter lets a few others through, which no join meets."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom.build(classes))
@@ -311,13 +331,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     members = _members(docs, id_col, text_col, words, scratch)
     postings = _postings(docs, text_col, words, t, _sketch(members))
-    by_gram = Window.partitionBy("gram")
-    shared = postings.select("*", F.min("class").over(by_gram).alias("lo"), F.max("class").over(by_gram).alias("hi"), F.max("index").over(by_gram).alias("any_index"))
-    shared = scratch.save(shared.where((F.col("lo") != F.col("hi")) & F.col("any_index")).select("gram", "class", "size"))
+    shared = scratch.save(_partnered(postings, t))
     sets = scratch.save(_sets(docs, text_col, words, shared.select("class").distinct()))
     maps = sets.select("class", "map").dropDuplicates(["class"])
     rank = Window.partitionBy("gram").orderBy("size", "class")
-    tiles = _tiles(shared.dropDuplicates(["gram", "class"]).withColumn("tile_rank", F.row_number().over(rank)), "gram", TILE, t)
+    tiles = _tiles(shared.withColumn("tile_rank", F.row_number().over(rank)), "gram", TILE, t)
     candidates = scratch.save(_forests(tiles.join(maps, "class").withColumn("none", F.lit(None).cast("binary")), "gram", t, False, "none").distinct())
     clusters = components(candidates, scratch)
     # the bands of exact tasks are cut by the n-grams they hold
