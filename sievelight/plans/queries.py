@@ -274,7 +274,7 @@ BOOLEAN = {
     "bool_not": ("NOT en", f"(SELECT doc FROM trial) EXCEPT ({_term('en')})"),
     "bool_zone": ("conditions:er exclusion:en", f"({_term('er', 3)}) INTERSECT ({_term('en', 6)})"),
     "bool_age_sex": ("age:45 AND sex:female AND tion", f"({_AGE45}) INTERSECT ({_FEMALE}) INTERSECT ({_term('tion')})"),
-    "bool_nested": ("(erin OR title:tion) AND NOT (ing OR sex:female) AND age:45", f"(({_term('erin')}) UNION ({_term('tion', 0)})) INTERSECT ({_AGE45}) EXCEPT (({_term('ing')}) UNION ({_FEMALE}))"),
+    "bool_nested": ("(erin OR title:tion) AND NOT (ing AND sex:female) AND age:45", f"((({_term('erin')}) UNION ({_term('tion', 0)})) INTERSECT ({_AGE45})) EXCEPT (({_term('ing')}) INTERSECT ({_FEMALE}))"),
     "bool_or_not": ("erin OR NOT tion", f"({_term('erin')}) UNION ((SELECT doc FROM trial) EXCEPT ({_term('tion')}))"),
     "bool_stop_words": ("the AND erin", _term("erin")),
     "phrase_any": ('"eriner thanea"', _phrase([("erin", 0), ("thanea", 1)])),
