@@ -11,19 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, crf, jaccard, lines, mix
+from sievelight.llm import bloom, bpe, crf, jaccard, lines, mix
 from sievelight.llm.queries import MIXTURE, SAMPLE_SHARE, table, tokenizer_file
 from sievelight.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The documents whose id has a row in ``verdict`` (a semi-join; null ids match null)."""
-    ids = verdict.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the rules or the line labels reject."""
     field = crf.fit(docs, table(spark, sf_dir, "labels"))
@@ -40,12 +34,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates."""
     found = jaccard.near_duplicates(docs)
-    return _keep(docs.select(*COLUMNS), found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    copies = Scratch(spark).save(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    return bloom.drop_ids(docs.select(*COLUMNS), copies, "doc_id")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents towards the target mixture."""
-    return _keep(docs.select(*COLUMNS), mix.sample(docs, MIXTURE, SAMPLE_SHARE).where("kept"))
+    return mix.keep(docs.select(*COLUMNS), MIXTURE, SAMPLE_SHARE)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,24 @@ def build(keys: DataFrame) -> np.ndarray:
     for r in keys.mapInArrow(part, schema).repartition(BLOCKS, "block").mapInArrow(merge, schema).collect():
         out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out.ravel()
+
+
+def drop_ids(rows: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` without those whose (bigint) id is in ``dropped``, a table of that one column.
+
+    Rows that the filter clears pass as they are; only the few others are shuffled
+    for the exact anti-join.  Rows with a null id stay.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(build(dropped.where(dropped[id_col].isNotNull())))
+    at = rows.columns.index(id_col)
+
+    def part(hit: bool):
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                ids = batch.column(at)
+                found = contains(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~ids.is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(found == hit))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return part(False).unionByName(part(True).join(dropped, id_col, "left_anti"))
