@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests, one machine) a temporary folder, which is then set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sievelight-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from sievelight.session import shared_folder
 
 
 class Scratch:
@@ -24,7 +16,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/sievelight-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         path = self.path()
@@ -33,7 +24,7 @@ class Scratch:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.__dict__["_scratch"] = path
         return out
 
     def path(self) -> str:
@@ -42,7 +33,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table."""
-        if path := self.paths.pop(id(df), None):
+        if path := df.__dict__.pop("_scratch", None):
             self.delete(path)
 
     def delete(self, path: str) -> None:
