@@ -29,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pieces contracted by one recursive query, pieces remembered between batches,
-#: and characters of text handled at once: they bound a worker's memory.
-CHUNK_PIECES = 40_000
-CACHE_PIECES = 300_000
-SLICE_CHARS = 4_000_000
+from sievelight.llm.hashing import batches
+
+#: Pieces contracted by one recursive query, pieces remembered between slices,
+#: and bytes of text handled at once: they bound a worker's memory.
+CHUNK_PIECES = 20_000
+CACHE_PIECES = 200_000
+SLICE_BYTES = 1_500_000
 LONG_PIECE = 1000
 
 #: Rows are (piece << 10 | byte position, token).  One round: look at the next
@@ -120,7 +122,7 @@ class Bpe:
                     merged.append(rank)
         self.con = duckdb.connect(":memory:")
         self.con.execute("SET threads = 1")
-        self.con.execute("SET memory_limit = '256MB'")
+        self.con.execute("SET memory_limit = '160MB'")
         self.con.register("m", pa.table({"pair": pairs, "merged": merged}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
         # one character of two UTF-16 bytes a byte, so that any bytes are valid text
@@ -213,18 +215,6 @@ class Bpe:
         return out
 
 
-def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters, one text at least."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every whole text.
 
@@ -239,23 +229,20 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_tokens bigint, n_bytes bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids string" * with_ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
-        for batch in batches:
+        for batch, raw in batches(stream, SLICE_BYTES):
             bpe = bpe or Bpe(ranks.value, pattern)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts, SLICE_CHARS):
-                ids = bpe.encode(texts[a:b])
-                raw = [t.encode() for t in texts[a:b]]
-                back = bpe.decode(ids)
-                cols = [
-                    batch.column(0).slice(a, b - a),
-                    pa.array([t.count(",") + 1 if t else 0 for t in ids], pa.int64()),
-                    pa.array([len(r) for r in raw], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in ids]),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in back]),
-                    pa.array([x == y for x, y in zip(raw, back, strict=True)]),
-                ]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids)] * with_ids, [id_col, "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * with_ids)
+            ids = bpe.encode([t.decode() for t in raw])
+            back = bpe.decode(ids)
+            cols = [
+                batch.column(0),
+                pa.array([t.count(",") + 1 if t else 0 for t in ids], pa.int64()),
+                pa.array([len(r) for r in raw], pa.int64()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in ids]),
+                pa.array([hashlib.sha256(t).hexdigest() for t in back]),
+                pa.array([x == y for x, y in zip(raw, back, strict=True)]),
+            ]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(ids)] * with_ids, [id_col, "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * with_ids)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

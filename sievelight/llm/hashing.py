@@ -79,17 +79,22 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+#: Rows whose texts are turned into Python objects at once.
+ROWS = 128
+
+
 def batches(stream: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of about ``most`` bytes of the text column (the last one), with the texts as UTF-8; null is empty."""
     for batch in stream:
         col = batch.column(batch.num_columns - 1)
         at, size, texts = 0, 0, []
-        for i, t in enumerate(col.cast(pa.binary()).to_pylist()):
-            t = t or b""
-            if size and size + len(t) > most:
-                yield batch.slice(at, i - at), texts
-                at, size, texts = i, 0, []
-            texts.append(t)
-            size += len(t)
+        for start in range(0, batch.num_rows, ROWS):
+            for i, t in enumerate(col.slice(start, ROWS).cast(pa.binary()).to_pylist(), start):
+                t = t or b""
+                if size and size + len(t) > most:
+                    yield batch.slice(at, i - at), texts
+                    at, size, texts = i, 0, []
+                texts.append(t)
+                size += len(t)
         if texts:
             yield batch.slice(at), texts
