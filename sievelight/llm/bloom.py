@@ -36,11 +36,11 @@ def build(keys: DataFrame) -> np.ndarray:
         bits = None
         for batch in stream:
             if batch.num_rows:
-                bits = np.zeros(BITS, dtype=bool) if bits is None else bits
+                bits = np.zeros(BITS // 8, dtype=np.uint8) if bits is None else bits
                 for p in _places(batch.column(0).to_numpy()):
-                    bits[p] = True
+                    np.bitwise_or.at(bits, p >> 3, (128 >> (p & 7)).astype(np.uint8))
         if bits is not None:
-            packed = [zlib.compress(np.packbits(bits[i * span : (i + 1) * span]).tobytes(), 1) for i in range(BLOCKS)]
+            packed = [zlib.compress(bits[i * span // 8 : (i + 1) * span // 8].tobytes(), 1) for i in range(BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
 
     def merge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
