@@ -34,7 +34,7 @@ from sievelight.llm.graph import components
 from sievelight.llm.hashing import U, Words, batches, grams, mix
 from sievelight.llm.scratch import Scratch
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 #: Counters of the sketch (16 MB).
 SKETCH = 1 << 22
 SKETCH_BLOCKS = 64

@@ -9,10 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from sievelight.session import shared_folder
 
 
+#: Spark's own bound on an Arrow batch, and the one that replaces it.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of texts between the JVM and Python workers hold about 4 MB each, unless the session has a bound of its own.
+
+    Whole batches lie outside the heap on one side and in Python on the other, so
+    with long texts Spark's 64 MB a running task are what fills an executor.
+    """
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 class Scratch:
     """Writes tables to a folder of its own, so that lost executors cost no lineage, and deletes those no longer needed."""
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/sievelight-{uuid.uuid4().hex}"
         self.n = 0
