@@ -35,7 +35,7 @@ from sievelight.llm.hashing import batches
 #: and bytes of text handled at once: they bound a worker's memory.
 CHUNK_PIECES = 20_000
 CACHE_PIECES = 200_000
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 600_000
 LONG_PIECE = 1000
 
 #: Rows are (piece << 10 | byte position, token).  One round: look at the next
