@@ -37,17 +37,16 @@ def from_benchmark(benchmark: DataFrame) -> DataFrame:
 def test_qrels(documents: DataFrame, benchmark: DataFrame, labels: DataFrame) -> DataFrame:
     """(qid, doc, rel) of labelled documents: 2 holds the passage, 1 is labelled toxic, else 0.
 
-    Toxic documents and holders are judged, and of the others those whose id and
-    the topic's agree modulo 10.  Passages are looked for by their first five words
-    before the whole is compared, so no pair of all is formed.
+    Every labelled document is judged for every topic.  Topics are few and broadcast.
+    Passages are looked for by their first five words before the whole is compared,
+    so texts are not compared pair by pair.
     """
     d = documents.join(labels, "doc_id").select(F.col("doc_id").alias("doc"), "text", "toxic")
     words = lambda c: F.regexp_extract_all(c, F.lit("[^ \\n]+"), F.lit(0))
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i + 1, 5), " "))
     posted = d.withColumn("w", words(F.col("text"))).where(F.size("w") >= 5).select("doc", F.explode(F.array_distinct(grams)).alias("g"))
-    topics = benchmark.withColumn("w", words(F.col("text"))).select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("passage"), F.array_join(F.slice("w", 1, 5), " ").alias("g"), "item_id")
+    topics = benchmark.withColumn("w", words(F.col("text"))).select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("passage"), F.array_join(F.slice("w", 1, 5), " ").alias("g"))
     near = posted.join(topics.select("qid", "g", "passage"), "g").join(d.select("doc", "text"), "doc")
     holds = near.where(F.contains("text", F.col("passage"))).select("qid", "doc", F.lit(2).alias("rel"))
-    key = (F.col("doc") % 10).alias("m")
-    plain = d.select("doc", "toxic", key).join(topics.select("qid", (F.col("item_id") % 10).alias("m")), "m").select("qid", "doc", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("rel"))
+    plain = d.select("doc", "toxic").crossJoin(F.broadcast(topics.select("qid"))).select("qid", "doc", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("rel"))
     return holds.union(plain).groupBy("qid", "doc").agg(F.max("rel").alias("rel"))
