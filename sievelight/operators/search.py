@@ -179,6 +179,32 @@ def search(qterms: DataFrame, patients: DataFrame, ix: Index, cfg: Config, negat
     return ranked(candidates(qterms, patients, ix, cfg, negated), cfg.k)
 
 
+def read(notes: DataFrame, ix: Index, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Query terms, negated terms and patients (qid, age, sex) of notes (qid, note), read as ``cfg`` says.
+
+    What a note does not say of age and sex is taken from its columns of these names, if it has them.
+    """
+    from sievelight.functions.notes import profile_terms, profiles
+
+    profile = profiles(notes, cfg.abbrev, cfg.negation, cfg.family, ix.stemmed)
+    known = [c for c in ("age", "sex") if c in notes.columns]
+    given = notes.select("qid", *[F.col(c).alias(f"given_{c}") for c in known])
+    said = profile.select("qid", "age", "sex").join(given, "qid")
+    patients = said.select("qid", *[F.coalesce(c, f"given_{c}").alias(c) if c in known else F.col(c) for c in ("age", "sex")])
+    return profile_terms(profile), profile_terms(profile, "neg"), patients
+
+
+def search_notes(notes: DataFrame, ix: Index, cfg: Config) -> DataFrame:
+    """The best k records of each note (qid, note), which is read first; with ``neural`` the best are re-ranked."""
+    terms, negated, patients = read(notes, ix, cfg)
+    found = candidates(terms, patients, ix, cfg, negated)
+    if cfg.neural:
+        from sievelight.operators.rerank import rerank
+
+        return rerank(found, notes, ix, cfg)
+    return ranked(found, cfg.k)
+
+
 def explain(qterms: DataFrame, pairs: DataFrame, ix: Index, cfg: Config) -> DataFrame:
     """(qid, doc, term, score, tf0..tf6): each term's part in the score of given (qid, doc) pairs.
 

@@ -197,18 +197,14 @@ def eligibility_join(spark, d):
     return both.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("doc").alias("total"))
 
 
-def negated(terms: DataFrame) -> DataFrame:
-    """Stands in for negated findings: the prose of the test notes has none."""
-    return terms.where(F.col("first_pos") % 7 == 0)
-
-
-def _search(name: str, c: Config) -> None:
+def _search(name: str, c: Config, read: bool = False) -> None:
+    """With ``read`` the notes are read first, else their words are taken as they are."""
     sql = f"{O.BASE}, {O.candidates(c)}, {O.ranked('cand', c.k)} SELECT qid, doc, rank, ok, {s6('base', 'exc', 'neg', 'final')} FROM run"
 
     @query(name, sql)
     def run(spark, d, c=c):
-        q = qterms(spark, d)
-        out = search.search(q, notes(spark, d), index(spark, d), c, negated(q))
+        n, ix = notes(spark, d), index(spark, d)
+        out = search.search_notes(n, ix, c) if read else search.search(qterms(spark, d), n, ix, c)
         return out.select("qid", "doc", *as_long("rank"), "ok", *r6("base", "exc", "neg", "final"))
 
 
@@ -216,10 +212,10 @@ FULL = Config(params="soft", exc_w=0.4, neg_w=0.2, pen_ratio=0.05, prf_docs=5, k
 _search("hard_filter_topk", Config(params="hard", k=10))
 _search("soft_filter_topk", Config(params="soft", k=10))
 _search("exclusion_penalty", Config(exc_w=0.4, pen_ratio=0.1, k=10))
-_search("negation_penalty", Config(neg_w=0.4, k=10))
-_search("tfidf_penalties", Config(model="bm25", exc_w=0.4, neg_w=0.4, k=10))
-_search("full_search", FULL)
-_search("full_search_hard", FULL.but(params="hard", prf_docs=10, prf_terms=20, prf_w=1.0))
+_search("negation_penalty", Config(neg_w=0.4, k=10), read=True)
+_search("tfidf_penalties", Config(model="bm25", exc_w=0.4, neg_w=0.4, k=10), read=True)
+_search("full_search", FULL, read=True)
+_search("full_search_hard", FULL.but(params="hard", prf_docs=10, prf_terms=20, prf_w=1.0), read=True)
 
 _PRF = Config(prf_docs=5, params="hard")
 
