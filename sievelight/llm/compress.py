@@ -27,11 +27,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_class`` texts build a dictionary, ``calibration`` more of each class fit the curve; ``text_chars`` bounds each of them in the sample."""
+    """``per_class`` texts build a dictionary, ``calibration`` more of each class fit the curve, all of them whole."""
 
     per_class: int = 400
     calibration: int = 500
-    text_chars: int = 10_000
     dictionary: int = 65_536
     piece: int = 256
     block: int = 512
@@ -95,8 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     for q in (0, 1):  # at most 2 n ids are broadcast
         part = usable.where(F.col(label_col) == q).orderBy(F.xxhash64(id_col), id_col).limit(n)
         chosen = part if chosen is None else chosen.union(part)
-    text = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, settings.text_chars)
-    rows = docs.select(id_col, text.alias("t")).join(F.broadcast(chosen), id_col).select("t", F.col(label_col).alias("q"), F.xxhash64(id_col).alias("h")).collect()
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), id_col).select("t", F.col(label_col).alias("q"), F.xxhash64(id_col).alias("h")).collect()
     rows.sort(key=lambda r: (r["h"], r["t"]))
     texts = {q: [r["t"].encode() for r in rows if r["q"] == q and r["t"]] for q in (0, 1)}
     split = {q: min(settings.per_class, len(texts[q]) // 2) for q in (0, 1)}

@@ -168,52 +168,60 @@ class Field:
         return sums[lines.offsets[1:]] - sums[lines.offsets[:-1]]
 
 
-def train(lines: Lines, labels: np.ndarray, rounds: int = 200, most_lines: int = 200, ridge: float = 1e-3) -> Field:
-    """Gradient ascent (Adam) on the conditional likelihood, by forward-backward over all sequences at once."""
-    lens = np.minimum(np.diff(lines.offsets), most_lines)
+def train(lines: Lines, labels: np.ndarray, rounds: int = 200, ridge: float = 1e-3) -> Field:
+    """Gradient ascent (Adam) on the conditional likelihood, by forward-backward over all whole sequences at once.
+
+    Lines are laid out by their place in the text, longest texts first, so the texts
+    that have an i-th line are the first ones and nothing is padded.
+    """
+    order = np.argsort(-np.diff(lines.offsets), kind="stable")
+    lens = np.diff(lines.offsets)[order]
     n, longest = len(lens), int(lens.max())
-    index = np.minimum(lines.offsets[:-1, None] + np.arange(longest), len(lines.features) - 1)
-    alive = np.arange(longest) < lens[:, None]
-    feats = lines.features[index]  # texts, lines, measures
-    y = np.broadcast_to(labels[:, None], alive.shape)
+    text = np.repeat(np.arange(n), lens)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(lens) - lens, lens)
+    by_place = np.argsort(place, kind="stable")
+    text, place = text[by_place], place[by_place]
+    base = np.searchsorted(place, np.arange(longest + 1))
+    feats = lines.features[lines.offsets[:-1][order][text] + place]
+    here = np.flatnonzero(place)
+    before = base[place[here] - 1] + text[here]
+    last = base[lens - 1] + np.arange(n)
     size = N_FEATURES * 2 + 4 + 2
     theta, m1, m2 = np.zeros(size), np.zeros(size), np.zeros(size)
     unpack = lambda t: (t[: N_FEATURES * 2].reshape(-1, 2), t[N_FEATURES * 2 : -2].reshape(2, 2), t[-2:])
     lse = lambda x, axis: np.logaddexp(np.take(x, 0, axis), np.take(x, 1, axis))
-    onehot = np.stack([y == 0, y == 1], axis=2) * alive[:, :, None]
+    y = labels[order][text]
+    onehot = np.stack([y == 0, y == 1], axis=1).astype(float)
+    seen_steps = onehot[before].T @ onehot[here]
     for t in range(1, rounds + 1):
         state, step, start = unpack(theta)
-        emit = state[feats].sum(axis=2)
-        alpha, beta = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
-        alpha[0] = emit[:, 0] + start
+        emit = state[feats].sum(axis=1)
+        alpha, beta = emit.copy(), np.zeros_like(emit)
+        alpha[:n] += start
         for i in range(1, longest):
-            new = lse(alpha[i - 1][:, :, None] + step, 1) + emit[:, i]
-            alpha[i] = np.where(alive[:, i, None], new, alpha[i - 1])
+            now = slice(base[i], base[i + 1])
+            alpha[now] += lse(alpha[base[i - 1] : base[i - 1] + base[i + 1] - base[i]][:, :, None] + step, 1)
         for i in range(longest - 2, -1, -1):
-            new = lse(step + (emit[:, i + 1] + beta[i + 1])[:, None, :], 2)
-            beta[i] = np.where(alive[:, i + 1, None], new, beta[i + 1])
-        z = lse(alpha[-1], 1)
-        gamma = np.exp(alpha + beta - z[None, :, None]).transpose(1, 0, 2) * alive[:, :, None]
-        off = onehot - gamma
+            after = slice(base[i + 1], base[i + 2])
+            beta[base[i] : base[i] + base[i + 2] - base[i + 1]] = lse(step + (emit[after] + beta[after])[:, None, :], 2)
+        z = lse(alpha[last], 1)
+        off = onehot - np.exp(alpha + beta - z[text][:, None])
         g_state = np.zeros((N_FEATURES, 2))
         for k in range(2):
-            g_state[:, k] = np.bincount(feats.ravel(), weights=np.repeat(off[:, :, k].ravel(), feats.shape[2]), minlength=N_FEATURES)
-        g_step = np.zeros((2, 2))
-        for i in range(1, longest):
-            pair = np.exp(alpha[i - 1][:, :, None] + step + (emit[:, i] + beta[i])[:, None, :] - z[:, None, None]) * alive[:, i, None, None]
-            g_step += np.einsum("na,nb->ab", onehot[:, i - 1] * alive[:, i, None], onehot[:, i]) - pair.sum(axis=0)
-        grad = np.concatenate([g_state.ravel(), g_step.ravel(), off[:, 0].sum(axis=0)]) / n - ridge * theta
+            g_state[:, k] = np.bincount(feats.ravel(), weights=np.repeat(off[:, k], feats.shape[1]), minlength=N_FEATURES)
+        pair = np.exp(alpha[before][:, :, None] + step + (emit + beta)[here][:, None, :] - z[text[here]][:, None, None])
+        g_step = seen_steps - pair.sum(axis=0)
+        grad = np.concatenate([g_state.ravel(), g_step.ravel(), off[:n].sum(axis=0)]) / n - ridge * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         theta = theta + 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
     return Field(*unpack(theta))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 400, text_chars: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """Fits on at most ``per_class`` documents of each label, ``text_chars`` of each."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
+    """Fits on at most ``per_class`` documents of each label, each of them whole."""
     usable = labels.select(id_col, label_col).where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     picked = [usable.where(F.col(label_col) == q).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for q in (0, 1)]
-    text = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, text_chars)
-    rows = docs.select(id_col, text.alias("t")).join(F.broadcast(picked[0].union(picked[1])), id_col).select("t", F.col(label_col).alias("q")).collect()
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(picked[0].union(picked[1])), id_col).select("t", F.col(label_col).alias("q")).collect()
     rows = sorted((r["t"], r["q"]) for r in rows if r["t"])
     y = np.array([q for _, q in rows])
     if len(set(y.tolist())) < 2:
