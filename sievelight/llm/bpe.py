@@ -7,19 +7,23 @@ contracts, in every piece, the leftmost pair of the lowest rank until no pair is
 left.  Decoding joins ids with the vocabulary and concatenates by an ordered
 aggregation.
 
+The recursion is keyed by position, so a round replaces rows instead of adding
+some, and memory is that of the rows at the start.  Long pieces contract in
+several places at once: a piece is cut into blocks of three times the longest
+token, and a pair contracts when it comes before all pairs of its own block and
+of the two beside it.  Until then nothing farther away can reach it, for no token
+is longer than a third of a block; so the ids are those of one contraction after
+the other, and a piece of one block has exactly one a round.
+
 Nulls and empty texts give no ids (digest of the empty string).  A piece that is
-itself in the vocabulary keeps that one id, as byte-pair libraries do.  Pieces
-longer than ``LONG_PIECE`` bytes (letter runs without any break) would need as
-many recursion rounds as they have bytes, so those alone are merged by a heap
-with the same order of contractions.  Other columns of the input are carried
-along only if asked for; repeated rows are encoded once each.
+itself in the vocabulary keeps that one id, as byte-pair libraries do.  Other
+columns of the input take no part; repeated rows are encoded once each.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 import sys
 import unicodedata
@@ -31,41 +35,41 @@ from pyspark.sql import DataFrame
 
 from sievelight.llm.hashing import batches
 
-#: Pieces contracted by one recursive query, pieces remembered between slices,
-#: and bytes of text handled at once: they bound a worker's memory.
-CHUNK_PIECES = 20_000
+#: Bytes of pieces contracted by one recursive query (a longer piece has one of its
+#: own), pieces remembered between slices (in each of two generations), and bytes of text
+#: handled at once: they bound a worker's memory.
+CHUNK_BYTES = 160_000
 CACHE_PIECES = 200_000
 SLICE_BYTES = 600_000
-LONG_PIECE = 1000
+#: Memory of the database: a base, and what a byte of the chunk takes on top.
+BASE_MB, BYTES_A_ROW = 160, 600
 
-#: Rows are (piece << 10 | byte position, token).  One round: look at the next
-#: row, find each piece's lowest (rank, position), write the merged token there
-#: and drop the row after it.  Pieces without a pair leave the recursion.
+#: Rows are (byte position, end of the piece, block, token); a token of -1 is gone.
+#: One round: look at the next row, find each block's lowest (rank, position), and
+#: where that is before those of the blocks beside it, write the merged token there
+#: and strike out the row after it.  Pieces without a change leave the recursion.
 CONTRACT = """
-WITH RECURSIVE state(round, k, tok) AS (
-  SELECT 0, k, tok FROM start
-  UNION ALL
-  SELECT round + 1, k,
-         CASE WHEN (k & 1023) = ((best >> 10) & 1023) THEN best >> 20 ELSE tok END
-  FROM (
-    WITH pairs AS MATERIALIZED (
-      SELECT round, s.k, s.tok, s.nk, m.merged
-      FROM (SELECT round, k, tok, lead(k) OVER (ORDER BY k) AS nk,
-                   lead(tok) OVER (ORDER BY k) AS nt FROM state) s
-      LEFT JOIN merges m ON m.pair = CASE WHEN nk >> 10 = k >> 10 THEN (tok << 20) | nt END
-    ), lowest AS (
-      SELECT k >> 10 AS w, min((merged << 20) | ((k & 1023) << 10) | (nk & 1023)) AS best
-      FROM pairs WHERE merged IS NOT NULL GROUP BY 1
-    )
-    SELECT round, p.k, p.tok, best
-    FROM pairs p JOIN lowest ON p.k >> 10 = lowest.w
-    WHERE (p.k & 1023) <> (best & 1023)
+WITH RECURSIVE state(k, e, b, tok) USING KEY (k) AS (
+  SELECT k, e, b, tok FROM start
+  UNION
+  (WITH live AS (
+    SELECT k, e, b, tok, lead((k << 20) | tok) OVER (ORDER BY k) AS n
+    FROM recurring.state SEMI JOIN (SELECT DISTINCT e FROM state) USING (e) WHERE tok >= 0
+  ), lowest AS (
+    SELECT b, e, min((merged << 43) | (k << 10) | ((n >> 20) - k)) AS best
+    FROM live JOIN merges ON pair = (tok << 20) | (n & 1048575) WHERE n >> 20 < e GROUP BY b, e
+  ), beside AS (
+    SELECT b, e, best,
+           CASE WHEN lag(b) OVER o = b - 1 AND lag(e) OVER o = e THEN lag(best) OVER o END AS l,
+           CASE WHEN lead(b) OVER o = b + 1 AND lead(e) OVER o = e THEN lead(best) OVER o END AS r
+    FROM lowest WINDOW o AS (ORDER BY b)
+  ), chosen AS (
+    SELECT b, e, (best >> 10) & 8589934591 AS k, best & 1023 AS step, best >> 43 AS merged
+    FROM beside WHERE (l IS NULL OR best < l) AND (r IS NULL OR best < r)
   )
+  SELECT k + i * step, e, b, CASE i WHEN 0 THEN merged ELSE -1 END FROM chosen, (VALUES (0), (1)) two(i))
 )
-SELECT s.k >> 10 AS w, s.k, s.tok
-FROM state s JOIN (SELECT k >> 10 AS w, max(round) AS round FROM state GROUP BY 1) f
-  ON f.w = s.k >> 10 AND f.round = s.round
-ORDER BY s.k
+SELECT k, tok FROM state WHERE tok >= 0 ORDER BY k
 """
 
 DECODE = """
@@ -122,7 +126,8 @@ class Bpe:
                     merged.append(rank)
         self.con = duckdb.connect(":memory:")
         self.con.execute("SET threads = 1")
-        self.con.execute("SET memory_limit = '160MB'")
+        self.con.execute("SET temp_directory = ''")  # nothing goes to the worker's own disk
+        self.memory(0)
         self.con.register("m", pa.table({"pair": pairs, "merged": merged}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
         # one character of two UTF-16 bytes a byte, so that any bytes are valid text
@@ -132,70 +137,57 @@ class Bpe:
         self.con.unregister("m")
         self.con.unregister("v")
         self.cache: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.block = 3 * max(map(len, ranks))
+
+    def memory(self, rows: int) -> None:
+        self.con.execute(f"SET memory_limit = '{BASE_MB + rows * BYTES_A_ROW // 1_000_000}MB'")
 
     def contract(self, pieces: list[bytes]) -> list[str]:
         """Decimal ids of each piece, by the recursive query."""
         lens = np.array([len(p) for p in pieces], dtype=np.int64)
         blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        w = np.repeat(np.arange(len(pieces), dtype=np.int64), lens)
-        pos = np.arange(len(blob), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
-        self.con.register("start", pa.table({"k": (w << 10) | pos, "tok": self.byte_id[blob]}))
+        starts = np.cumsum(lens) - lens
+        k = np.arange(len(blob), dtype=np.int64)
+        blocks = -(-lens // self.block)
+        b = np.repeat(np.cumsum(blocks) - blocks, lens) + (k - np.repeat(starts, lens)) // self.block
+        self.memory(len(blob))
+        self.con.register("start", pa.table({"k": k, "e": np.repeat(starts + lens, lens), "b": b, "tok": self.byte_id[blob]}))
         out = self.con.execute(CONTRACT).fetchnumpy()
         self.con.unregister("start")
-        ends = [0, *np.searchsorted(out["w"], np.arange(1, len(pieces))).tolist(), len(out["w"])]
+        ends = [*np.searchsorted(out["k"], starts).tolist(), len(out["k"])]
         ids = list(map(str, out["tok"].tolist()))
-        return [",".join(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-
-    def contract_long(self, piece: bytes) -> list[int]:
-        """The same contractions, by a heap over a linked list."""
-        tok = [int(self.byte_id[b]) for b in piece]
-        text: list[bytes | None] = [bytes([b]) for b in piece]
-        right, left = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            if i >= 0 and right[i] < len(piece):
-                rank = self.ranks.get(text[i] + text[right[i]])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, tok[i], tok[right[i]]))
-
-        for i in range(len(piece)):
-            push(i)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = right[i] if text[i] is not None else len(piece)
-            if j >= len(piece) or tok[i] != a or tok[j] != b:
-                continue
-            text[i], tok[i], text[j], right[i] = text[i] + text[j], rank, None, right[j]
-            if right[i] < len(piece):
-                left[right[i]] = i
-            push(left[i])
-            push(i)
-        return [tok[i] for i in range(len(piece)) if text[i] is not None]
+        return [",".join(ids[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
 
     def learn(self, pieces: set[str]) -> None:
         """Fills the cache for these pieces: ids as decimal text."""
-        todo, names = [], []
+        todo = []
         for p in pieces:
             raw = p.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 self.cache[p] = str(rank)
-            elif len(raw) > LONG_PIECE:
-                self.cache[p] = ",".join(map(str, self.contract_long(raw)))
             else:
-                todo.append(raw)
-                names.append(p)
-        for i in range(0, len(todo), CHUNK_PIECES):
-            for p, ids in zip(names[i : i + CHUNK_PIECES], self.contract(todo[i : i + CHUNK_PIECES]), strict=True):
+                todo.append((len(raw), raw, p))
+        todo.sort()  # pieces of like length need like numbers of rounds
+        at = 0
+        while at < len(todo):
+            stop, size = at, 0
+            while stop < len(todo) and (stop == at or size + todo[stop][0] <= CHUNK_BYTES):
+                size += todo[stop][0]
+                stop += 1
+            for (_, _, p), ids in zip(todo[at:stop], self.contract([raw for _, raw, _ in todo[at:stop]]), strict=True):
                 self.cache[p] = ids
+            at = stop
 
     def encode(self, texts: list[str]) -> list[str]:
         """Decimal ids of each text, joined by commas."""
         split = [self.split(t) for t in texts]
-        new = set().union(*split)
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        self.learn(new.difference(self.cache))
+            self.older, self.cache = self.cache, {}
+        new = set().union(*split).difference(self.cache)
+        known = new.intersection(self.older)
+        self.cache.update((p, self.older[p]) for p in known)
+        self.learn(new - known)
         get = self.cache.__getitem__
         return [",".join(map(get, pieces)) for pieces in split]
 
@@ -215,6 +207,17 @@ class Bpe:
         return out
 
 
+#: The encoder of this worker process, and what it was made for; tasks that follow each other share it.
+_held: tuple[str, Bpe] | None = None
+
+
+def encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Bpe:
+    global _held
+    if _held is None or _held[0] != key:
+        _held = (key, Bpe(ranks, pattern))
+    return _held[1]
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every whole text.
 
@@ -225,14 +228,15 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     get it by broadcast, so they need no path of their own.
     """
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
+    table = load_ranks(vocabulary)
+    key = hashlib.sha256(repr((pattern, sorted(table.items()))).encode()).hexdigest()
+    ranks = spark.sparkContext.broadcast(table)
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_tokens bigint, n_bytes bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids string" * with_ids
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
         for batch, raw in batches(stream, SLICE_BYTES):
-            bpe = bpe or Bpe(ranks.value, pattern)
+            bpe = encoder(key, ranks.value, pattern)
             ids = bpe.encode([t.decode() for t in raw])
             back = bpe.decode(ids)
             cols = [
