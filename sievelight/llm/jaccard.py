@@ -15,7 +15,8 @@ texts are ordered alike, so it only affects speed.
 
 Nulls, empty texts and texts without words have the empty set, which is linked
 with nothing.  Texts of fewer than n words have one n-gram, their whole sequence.
-Rows with a null id keep their counts and have no component.
+Ids of any type may repeat, also with different texts.  A row with a null id has the
+component of its group, which is null if no row of the group has an id.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from sievelight.llm import bloom
 from sievelight.llm.graph import components
 from sievelight.llm.hashing import U, Words, batches, grams, mix
-from sievelight.llm.scratch import Scratch
+from sievelight.llm.scratch import Scratch, unused
 
 SLICE_BYTES = 500_000
 #: Counters of the sketch (16 MB).
@@ -163,12 +164,12 @@ class Forest:
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, n: int, scratch: Scratch) -> DataFrame:
-    """Class and size of every row; and, in rows of kind 1, each task's counts for the sketch."""
+    """Class, size and text hash of every row; and, in rows of kind 1, each task's counts for the sketch."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.uint32)
-        names = ["kind", "id", "size", "class", "counts"]
+        names = ["kind", "id", "t", "size", "class", "counts"]
         id_type = None
         for batch, texts in batches(stream, SLICE_BYTES):
             sets = shingles(texts, n)
@@ -176,12 +177,13 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int, scratch: Scrat
             slots, times = np.unique(np.concatenate(sets) & U(SKETCH - 1), return_counts=True)
             counts[slots.astype(np.int64)] += times.astype(np.uint32)
             size = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(size, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(size, pa.binary())], names)
         if id_type is not None:
             parts = np.split(counts, SKETCH_BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), pa.nulls(len(parts), id_type), pa.array(range(len(parts)), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), pa.nulls(len(parts), id_type), pa.nulls(len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names)
 
-    return scratch.save(docs.select(id_col, text_col).mapInArrow(run, f"kind int, id {kind}, size bigint, class bigint, counts binary"), ["kind"])
+    rows = docs.select(id_col, F.xxhash64(text_col), text_col)
+    return scratch.save(rows.mapInArrow(run, f"kind int, id {kind}, t bigint, size bigint, class bigint, counts binary"), ["kind"])
 
 
 def _sketch(members: DataFrame) -> np.ndarray:
@@ -327,12 +329,40 @@ def _forests(rows: DataFrame, key: str, t: Threshold, exact: bool, extra: str) -
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """``id_col``, n_shingles, class_id (of equal sets) and component_id (smallest id reachable by links) of every row."""
-    t = Threshold(percent)
+    out = _groups(docs, id_col, text_col, words, percent, Scratch(docs.sparkSession))
+    component = F.coalesce("least.id", F.when(F.col("class").isNull(), F.col("id")))
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("class").alias("class_id"), component.alias("component_id"))
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+    """One row of each group of ``docs``: that of the smallest (id, hash of the text), null ids last.
+
+    Rows are told apart by id and text, so different texts under one id are
+    different documents, and of rows that are alike in both one stays (the smallest
+    by its other columns).  Rows without words are in no group and all stay.  Texts
+    are only shuffled where a filter of the rows to remove or to unite lets them through.
+    """
     scratch = Scratch(docs.sparkSession)
+    own = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("t") == F.col("least.t"))
+    found = _groups(docs, id_col, text_col, words, percent, scratch).where(F.col("class").isNotNull())
+    touched = found.groupBy("id", "t").agg(F.max(own).alias("stays"), F.count(F.lit(1)).alias("n")).where(~F.col("stays") | (F.col("n") > 1))
+    touched = scratch.save(touched.select("id", "t", "stays", bloom.row_key("id", "t").alias("key")))
+    tid, tt, stays, t = unused(docs.columns, "touched_id", "touched_text", "stays", "text_hash")
+    clear, others = bloom.split(docs, F.xxhash64(F.col(id_col), F.xxhash64(text_col)), touched.select("key"))
+    touched = touched.select(F.col("id").alias(tid), F.col("t").alias(tt), F.col("stays").alias(stays))
+    others = others.withColumn(t, F.xxhash64(text_col)).join(touched, F.col(id_col).eqNullSafe(F.col(tid)) & (F.col(t) == F.col(tt)), "left")
+    once = others.where(stays).groupBy(id_col, t).agg(F.min(F.struct(*docs.columns)).alias(stays)).select(f"{stays}.*")
+    return clear.unionByName(others.where(F.col(stays).isNull()).select(*docs.columns)).unionByName(once)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, t, size, class, least) of every row; ``t`` is the hash of the text and ``least`` the smallest (id, t) of the row's group."""
+    t = Threshold(percent)
     members = _members(docs, id_col, text_col, words, scratch)
     postings = _postings(docs, text_col, words, t, _sketch(members))
     shared = scratch.save(_partnered(postings, t))
-    sets = scratch.save(_sets(docs, text_col, words, shared.select("class").distinct()))
+    wanted = scratch.save(shared.select("class").distinct())
+    sets = scratch.save(_sets(docs, text_col, words, wanted))
     maps = sets.select("class", "map").dropDuplicates(["class"])
     rank = Window.partitionBy("gram").orderBy("size", "class")
     tiles = _tiles(shared.withColumn("tile_rank", F.row_number().over(rank)), "gram", TILE, t)
@@ -346,10 +376,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _forests(exact, "root", t, True, "grams")
     roots = scratch.save(components(links, scratch).select(F.col("node").alias("class"), "root"))
     rows = members.where("kind = 0")
-    first = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "t")
+    first = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(place).alias("first"))
     first = first.join(roots, "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
-    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = first.join(least, "root").select("class", "component_id")
-    out = rows.select("id", "size", "class").join(by_class, "class", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("class").alias("class_id"), component.alias("component_id"))
+    least = first.groupBy("root").agg(F.min("first").alias("least"))
+    by_class = first.join(least, "root").select("class", "least")
+    return rows.select("id", "t", "size", "class").join(by_class, "class", "left")

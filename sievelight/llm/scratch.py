@@ -23,6 +23,26 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has (Spark compares names without regard to case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def parts_for(df: DataFrame, bytes_a_part: int) -> int:
+    """How many partitions of about ``bytes_a_part`` a table makes, by the size that its plan states; where it states none, as many as the session deals."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 52:
+        return max(4, -(-size // bytes_a_part))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Scratch:
     """Writes tables to a folder of its own, so that lost executors cost no lineage, and deletes those no longer needed."""
 
