@@ -7,9 +7,10 @@ on labelled texts that neither dictionary has seen turns it into the probability
 of a good label.  Fitting uses a bounded sample of labelled rows (those with the
 smallest hash of their id); scoring reads every whole text.
 
-Null and empty texts are scored as empty (feature 0).  Rows whose label is null
-or neither 0 nor 1 are not learnt from.  Without labels of both kinds the score
-is the smoothed share of good labels.
+Null and empty texts are scored as empty (feature 0); very long texts block by block,
+like any other.  Rows whose label is null or neither 0 nor 1 are not learnt from, and
+repeated or contradictory labels and ids are as in ``sampling.labelled``.  Without
+labels of both kinds the score is the smoothed share of good labels.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm import sampling
+from sievelight.llm.hashing import batches
+
+SLICE_BYTES = 2_000_000
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -87,16 +93,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """``labels`` must hold only the rows that may be learnt from."""
     n = settings.per_class + settings.calibration
-    usable = labels.select(id_col, label_col).where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    counts = {r[0]: r["count"] for r in usable.groupBy(label_col).count().collect()}
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    counts = {int(r[0]): r["count"] for r in usable.groupBy(label_col).count().collect()}
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-    chosen = None
-    for q in (0, 1):  # at most 2 n ids are broadcast
-        part = usable.where(F.col(label_col) == q).orderBy(F.xxhash64(id_col), id_col).limit(n)
-        chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), id_col).select("t", F.col(label_col).alias("q"), F.xxhash64(id_col).alias("h")).collect()
-    rows.sort(key=lambda r: (r["h"], r["t"]))
-    texts = {q: [r["t"].encode() for r in rows if r["q"] == q and r["t"]] for q in (0, 1)}
+    rows = sampling.labelled(docs, labels, n, id_col, text_col, label_col)
+    texts = {q: [t.encode() for t, label in rows if label == q] for q in (0, 1)}
     split = {q: min(settings.per_class, len(texts[q]) // 2) for q in (0, 1)}
     dictionaries = {}
     for q in (0, 1):
@@ -126,8 +127,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
-        for batch in stream:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        for batch, texts in batches(stream, SLICE_BYTES):
             feature = [scorer.feature(t) for t in texts]
             m = scorer.model
             z = np.clip(m.slope * np.array(feature, dtype=np.float64) + m.intercept, -700, 700)
