@@ -9,7 +9,10 @@ workers memory-map them and look tokens up by binary search, sorted first.
 A text's tokens are its words (A-Z lower-cased) and one end token; the first word
 follows a start mark.  Null and empty texts are the end token alone.  Without
 training tokens every token has probability one over one (the uniform share of an
-empty vocabulary).  Words are 48-bit hashes, pairs 64-bit hashes.
+empty vocabulary).  Words and pairs are 64-bit hashes, counts 64-bit numbers.  There
+are as many shards as the input has parts of ``SHARD_BYTES``, so a shard's size does
+not grow with the input, and a task holds one at a time.  Where the shared folder is
+no file system, a worker reads one shard after the other and keeps none.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.hashing import U, Words, batches, mix
-from sievelight.llm.scratch import Scratch
+from sievelight.llm.scratch import Scratch, parts_for
 
 SLICE_BYTES = 2_000_000
 #: Pairs that a counting task holds before it sends them on.
 HELD_PAIRS = 2_000_000
-WORD_MASK = U((1 << 48) - 1)
+#: Bytes of the stored input for each shard.
+SHARD_BYTES = 4_000_000
 START, END = U(1), U(2)
 COLUMNS = ("cont", "total", "context", "n1", "n2", "n3")
 
@@ -44,7 +48,7 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(previous, word, index of each text's first token and the end) of texts laid end to end."""
     words = Words(texts, lower=True)
-    h = words.hashes() & WORD_MASK
+    h = words.hashes()
     first = words.offsets + np.arange(len(words.offsets))
     out = np.full(len(h) + len(texts), END, dtype=np.uint64)
     own = np.ones(len(out), dtype=bool)
@@ -56,37 +60,28 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, out, first
 
 
-def pack(ids: np.ndarray, sort: bool) -> bytes:
-    """Six-byte ids as byte planes; sorted ones as differences."""
-    x = np.diff(ids, prepend=U(0)) if sort else ids
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
-
-
-def unpack(raw: bytes, sort: bool) -> np.ndarray:
-    planes = np.frombuffer(raw, dtype=np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, :6] = planes.T
-    x = out.view("<u8").ravel().astype(np.uint64)
-    return np.cumsum(x, dtype=np.uint64) if sort else x
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, first all lowest ones and so on; planes of zeros compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def columns_blob(ids: list[np.ndarray], sort: list[bool], numbers: list[np.ndarray]) -> bytes:
-    """Arrays of one length, compressed together."""
-    n = len(ids[0]).to_bytes(8, "little")
-    body = b"".join(pack(a, s) for a, s in zip(ids, sort, strict=True))
-    body += b"".join(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in numbers)
-    return n + zstandard.ZstdCompressor(level=1).compress(body)
+    """Arrays of one length, compressed together; sorted ids as differences."""
+    body = b"".join(planes(np.diff(a, prepend=U(0)) if s else a) for a, s in zip(ids, sort, strict=True)) + b"".join(map(planes, numbers))
+    return len(ids[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def blob_columns(blob: bytes, sort: list[bool], numbers: int) -> list[np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
-    body = zstandard.ZstdDecompressor().decompress(blob[8:])
-    out = [unpack(body[i * 6 * n : (i + 1) * 6 * n], s) for i, s in enumerate(sort)]
-    at = len(sort) * 6 * n
-    for i in range(numbers):
-        planes = np.frombuffer(body[at + i * 4 * n : at + (i + 1) * 4 * n], dtype=np.uint8).reshape(4, -1)
-        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
-    return out
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), dtype=np.uint8).reshape(-1, 8, n)
+    out = [np.ascontiguousarray(p.T).view("<u8").ravel().astype(np.uint64) for p in body]
+    ids = [np.cumsum(x, dtype=np.uint64) if s else x for x, s in zip(out, sort, strict=False)]
+    return ids + [x.astype(np.int64) for x in out[len(sort) : len(sort) + numbers]]
+
+
+def least(x: np.ndarray) -> np.ndarray:
+    """The same counts in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
 def put(folder: str, name: str, array: np.ndarray) -> None:
@@ -145,8 +140,7 @@ def count(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts the pairs of every text of ``docs`` and writes the model."""
     spark = docs.sparkSession
     folder = Scratch(spark).path()
-    parts = max(1, docs.rdd.getNumPartitions())
-    bits = max(4, (2 * parts - 1).bit_length())
+    bits = max(4, (parts_for(docs.select(text_col), SHARD_BYTES) - 1).bit_length())
     shards = 1 << bits
 
     def send(key: np.ndarray, columns: list[np.ndarray], order_by: np.ndarray, ids: int, sort: list[bool]) -> pa.RecordBatch:
@@ -207,7 +201,7 @@ def count(docs: DataFrame, text_col: str = "text") -> Model:
         for s, blobs in by_shard(stream):
             key, v, w, c = merge([blob_columns(b, [True, False], 1) for b in blobs])
             put(folder, f"pair-key-{s}", key)
-            put(folder, f"pair-count-{s}", c.astype(np.uint32))
+            put(folder, f"pair-count-{s}", least(c))
             one, zero = np.ones(len(c), dtype=np.int64), np.zeros(len(c), dtype=np.int64)
             as_word = totals(w, [one, c, zero, zero, zero, zero])
             as_context = totals(v, [zero, zero, c, (c == 1) * 1, (c == 2) * 1, (c > 2) * 1])
@@ -225,7 +219,7 @@ def count(docs: DataFrame, text_col: str = "text") -> Model:
             order = np.argsort(mix(ids))
             put(folder, f"word-key-{s}", mix(ids)[order])
             for name, x in zip(COLUMNS, numbers, strict=True):
-                put(folder, f"word-{name}-{s}", x[order].astype(np.uint32 if name[0] == "n" or name == "cont" else np.int64))
+                put(folder, f"word-{name}-{s}", least(x[order]))
             cont, total = numbers[0], numbers[1]
             yield stats_batch([[0] * 5 + [int((total > 0).sum()), int(total.sum())] + [int((cont == k).sum()) for k in (1, 2, 3, 4)]])
 
@@ -239,16 +233,19 @@ def count(docs: DataFrame, text_col: str = "text") -> Model:
 
 
 class Reader:
-    """A worker's view of the model's files."""
+    """A worker's view of the model's files: memory maps, or one shard's arrays at a time."""
 
     def __init__(self, model: Model):
         self.m = model
-        self.files: dict[str, np.ndarray | None] = {}
+        self.maps: dict[str, np.ndarray | None] = {}
 
     def file(self, name: str) -> np.ndarray | None:
-        if name not in self.files:
-            self.files[name] = get(self.m.folder, name)
-        return self.files[name]
+        if name in self.maps:
+            return self.maps[name]
+        found = get(self.m.folder, name)
+        if found is None or isinstance(found, np.memmap):
+            self.maps[name] = found
+        return found
 
     def look_up(self, kind: str, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
         """Values of sorted distinct keys, 0 where there is none."""
