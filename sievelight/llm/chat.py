@@ -7,7 +7,9 @@ root to leaf, are ranked by score, and each chosen one becomes one conversation.
 
 Scores add up along a branch; ties go to the deeper branch, then to the smaller
 leaf.  A message whose parent is null or missing is a root.  Messages on a cycle
-reach no root and belong to no branch.  Null roles and texts are empty.
+reach no root and belong to no branch.  Null roles and texts are empty.  Messages
+with a null tree are one tree more; a null node is a node like others, so one tree
+may have one.  Only the named columns of a table are read.
 """
 
 from __future__ import annotations
@@ -83,11 +85,13 @@ def branches(messages: DataFrame, top: int | None = 1, tree: str = "tree", node:
 
     Returns (tree, leaf, branch_rank, branch_score, depth, node); ``depth`` counts
     from 1 at the root.  ``top`` branches of each tree are chosen, None for all.
-    ``(tree, node)`` must be a key; rows with a null tree or node are left out.
+    ``(tree, node)`` must be a key.  Inside, both are wrapped in a struct, which makes
+    every join null-safe.
     """
     scratch = Scratch(messages.sparkSession)
     value: Column = F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)
-    base = messages.where(F.col(tree).isNotNull() & F.col(node).isNotNull()).select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p"), value.alias("s"))
+    wrap = lambda c: F.struct(F.col(f"`{c}`").alias("v"))
+    base = messages.select(wrap(tree).alias("t"), wrap(node).alias("n"), F.when(F.col(f"`{parent}`").isNotNull(), wrap(parent)).alias("p"), value.alias("s"))
     known = base.select("t", F.col("n").alias("p"), F.lit(True).alias("known"))
     first = base.join(known, ["t", "p"], "left").select("t", "n", F.when(F.col("known"), F.col("p")).alias("up"), "s", F.lit(1).cast("bigint").alias("d"))
     levels = [scratch.save(first)]
@@ -109,7 +113,7 @@ def branches(messages: DataFrame, top: int | None = 1, tree: str = "tree", node:
         up = levels[k].where(F.col("up").isNotNull()).select("t", "n", "up")
         marked = scratch.save(marked)
         marked = marked.unionByName(marked.join(up, ["t", "n"]).select("t", "leaf", "branch_rank", "branch_score", (F.col("depth") - 2**k).alias("depth"), F.col("up").alias("n")))
-    return marked.select(F.col("t").alias(tree), "leaf", "branch_rank", "branch_score", "depth", F.col("n").alias(node))
+    return marked.select(F.col("t.v").alias(tree), F.col("leaf.v").alias("leaf"), "branch_rank", "branch_score", "depth", F.col("n.v").alias(node))
 
 
 def format_branches(rows: DataFrame, template: Template = Template(), keys: tuple[str, ...] = ("tree", "leaf"), order: str = "depth", role: str = "role", text: str = "text") -> DataFrame:
@@ -157,6 +161,12 @@ def format_branches(rows: DataFrame, template: Template = Template(), keys: tupl
     return dealt.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", formatted string, loss array<struct<start: bigint, stop: bigint>>")
 
 
+def with_messages(path: DataFrame, messages: DataFrame, tree: str = "tree", node: str = "node", role: str = "role", text: str = "text") -> DataFrame:
+    """The branches' rows with role and text of their messages; null trees and nodes meet too."""
+    said = messages.select(F.struct(F.col(tree).alias("t"), F.col(node).alias("n")).alias("at"), role, text)
+    return path.withColumn("at", F.struct(F.col(tree).alias("t"), F.col(node).alias("n"))).join(said, "at").drop("at")
+
+
 def linear(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Conversations as trees of one branch: (tree, node, parent, role, text); turns in order, equal ones by role and text."""
     by = Window.partitionBy("tree").orderBy(turn, role, text)

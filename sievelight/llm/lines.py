@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.scratch import unused
+
 BREAK = "\n"
 
 
@@ -43,11 +45,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     first = first.where(F.col("first") != F.col("last")).select("a", "b", "first")
     later = cut.join(first, ["a", "b"]).where(F.struct("id", "t", "pos") != F.col("first"))
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + window - 1))))
-    covered = later.groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(covered.alias("__covered"))
+    docs = docs.drop("n_lines", "n_removed")
+    i, t, c = unused(docs.columns, "covered_id", "covered_text", "covered")
+    covered = later.groupBy(F.col("id").alias(i), F.col("t").alias(t)).agg(covered.alias(c))
     text = F.col(text_col)
-    on = docs[id_col].eqNullSafe(covered["__id"]) & (F.xxhash64(docs[text_col]) == covered["__t"])
-    joined = docs.join(covered, on, "left")
-    lines, gone = _lines(text), F.coalesce("__covered", F.array().cast("array<int>"))
+    joined = docs.join(covered, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
+    lines, gone = _lines(text), F.coalesce(c, F.array().cast("array<int>"))
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     kept = F.when(F.size(gone) > 0, F.array_join(F.transform(places, lambda p: F.element_at(lines, p + 1)), BREAK)).otherwise(text)
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
@@ -71,7 +74,7 @@ WITH l AS (
   FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM l) l
   LEFT JOIN c ON c.doc_id = l.doc_id WHERE NOT coalesce(list_contains(c.gone, p), false) GROUP BY l.doc_id
 )
-SELECT l.doc_id, coalesce(kept.text, '') AS text, len(l.ls)::BIGINT AS n_lines,
+SELECT l.doc_id, CASE WHEN l.ls IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(len(l.ls), 0)::BIGINT AS n_lines,
        coalesce(len(c.gone), 0)::BIGINT AS n_removed
 FROM l LEFT JOIN kept ON kept.doc_id = l.doc_id LEFT JOIN c ON c.doc_id = l.doc_id
 """

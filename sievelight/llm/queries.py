@@ -54,7 +54,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import simhash
 
-    return simhash.edited_pairs(table(spark, sf_dir, "documents"))
+    return simhash.with_neighbours(simhash.edited_pairs(table(spark, sf_dir, "documents")))
 
 
 @query("op7_compress")
@@ -83,7 +83,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     messages = chat.linear(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
     path = chat.branches(messages)
-    formatted = chat.format_branches(path.join(messages.drop("parent"), ["tree", "node"]))
+    formatted = chat.format_branches(chat.with_messages(path, messages))
     return chat.read_back(formatted).withColumnRenamed("tree", "conv_id")
 
 
@@ -123,11 +123,11 @@ def op8_gear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gear.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-#: Target mixture: sources alike, languages and topics by share.
+#: Target mixture: sources alike, languages by share, topics (numbered from the largest cluster) evened out.
 MIXTURE = {
     "source": {f"src{i}": 0.05 for i in range(20)},
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
-    "topic": {f"t{i}": 0.125 for i in range(8)},
+    "topic": {"t0": 0.44, "t1": 0.14, "t2": 0.11, "t3": 0.09, "t4": 0.07, "t5": 0.06, "t6": 0.05, "t7": 0.04},
 }
 #: Share of all words that the sample is to have.
 SAMPLE_SHARE = 0.5

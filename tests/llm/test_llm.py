@@ -114,7 +114,7 @@ def test_jaccard_agrees_with_brute_force(spark, docs, texts, monkeypatch):
 def test_jaccard_on_odd_rows(odd, none):
     rows = jaccard.near_duplicates(odd).collect()
     by = {r.doc_id: r for r in rows if r.doc_id is not None}
-    assert len(rows) == len(ODD) and by[5].component_id == 1 and by[3].component_id == 3 and by[2].n_shingles == 0
+    assert len(rows) == len(ODD) and by[5].component_id == 1 and by[3].component_id == 3 and by[2].n_shingles == 0 and by[2].component_id == 2
     assert next(r for r in rows if r.doc_id is None).component_id is None
     assert jaccard.near_duplicates(none).count() == 0
 
@@ -138,13 +138,70 @@ def test_components(spark):
 
 def test_mixing_meets_its_targets(docs, odd, none):
     own = ("source", "lang")
-    fit = mix.fit(mix.with_topics(docs, keep=own), queries.MIXTURE, 0.3)
+    topics = mix.fit_topics(docs)
+    fit = mix.fit(mix.with_topics(docs, topics, keep=own), queries.MIXTURE, 0.3)
     assert max(abs(x - queries.MIXTURE["lang"][k]) for k, x in fit.achieved["lang"].items()) < 0.05
     assert all(0 < p <= 1 for _, _, p in fit.cells)
     a = {r.doc_id for r in mix.sample(docs, queries.MIXTURE).where("kept").collect()}
     assert a == {r.doc_id for r in mix.keep(docs, queries.MIXTURE).collect()}
-    assert mix.sample(odd.drop("words", "topic", "kept", "probability"), queries.MIXTURE).count() == len(ODD)
-    assert mix.sample(none.drop("words", "topic", "kept", "probability"), queries.MIXTURE).count() == 0
+    assert mix.sample(odd, queries.MIXTURE).count() == len(ODD) and mix.sample(none, queries.MIXTURE).count() == 0
+    assert mix.keep(odd, queries.MIXTURE, 1.0).columns == odd.columns and mix.keep(none, queries.MIXTURE).count() == 0
+    # drawn shares are those of the cells, up to the chance of the draw
+    rows = mix.sample(docs, queries.MIXTURE).collect()
+    drawn, wanted = sum(max(r.words, 1) for r in rows if r.kept), sum(max(r.words, 1) * r.probability for r in rows)
+    spread = sum(max(r.words, 1) ** 2 * r.probability * (1 - r.probability) for r in rows) ** 0.5
+    assert abs(drawn - wanted) < 4 * spread
+    assert all((r.weight == pytest.approx(1 / r.probability)) if r.kept else r.weight is None for r in rows)
+
+
+def test_topics_are_the_planted_ones(spark):
+    """Texts of four vocabularies fall into four clusters, also by the plain rule: the centre of the largest cosine."""
+    rng = np.random.RandomState(4)
+    vocabulary = [[f"word{k}{i:03d}" for i in range(40)] for k in range(4)]
+    texts = [(i, " ".join(rng.choice(vocabulary[i % 4], 30))) for i in range(200)] + [(200, ""), (201, None), (202, "a b c")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    topics = mix.fit_topics(df, topics=4)
+    got = {r.doc_id: (r.words, r.topic) for r in mix.with_topics(df, topics).collect()}
+    assert all(len({got[i][1] for i in range(k, 200, 4)}) == 1 for k in range(4)) and len({t for _, t in got.values()}) == 4
+    assert got[200] == got[201] == (0, "t0") and got[202] == (3, "t0")
+    for i, t in texts[:20]:
+        v = np.zeros(mix.TOPIC_SLOTS)
+        _, _, slot, weight = mix.terms([t.encode()])
+        v[slot] = weight * topics.idf[slot]
+        assert got[i][1] == f"t{(topics.centres @ v).argmax()}"
+
+
+def brute_rake(cells, targets, share):
+    """Cell by cell in dicts: the same fixed point as the operator's arrays."""
+    total = sum(cells.values())
+    p = dict.fromkeys(cells, share)
+    for _ in range(500):
+        for i, target in enumerate(targets):
+            words = collections.Counter()
+            for c, w in cells.items():
+                words[c[i]] += w
+            want = {k: target.get(k, 0.0) for k in words}
+            other = words[mix.OTHER] / total if mix.OTHER in words and mix.OTHER not in target else 0.0
+            named = sum(target.values())
+            want = {k: other if k == mix.OTHER and k not in target else x / named * (1 - other) for k, x in want.items()}
+            have = sum(want.values())
+            got = collections.Counter()
+            for c, w in cells.items():
+                got[c[i]] += w * p[c]
+            p = {c: x * want[c[i]] / have * total * share / got[c[i]] if got[c[i]] else x for c, x in p.items()}
+        p = {c: min(max(x, mix.FLOOR * share), 1.0) for c, x in p.items()}
+    return p
+
+
+def test_sample_agrees_with_brute_force(docs):
+    rows = mix.sample(docs, queries.MIXTURE).collect()
+    place = lambda r: tuple(v if v in queries.MIXTURE[c] else mix.OTHER for c, v in (("source", r.source), ("lang", r.lang), ("topic", r.topic)))
+    cells = collections.Counter()
+    for r in rows:
+        cells[place(r)] += max(r.words, 1)
+    p = brute_rake(cells, list(queries.MIXTURE.values()), 0.5)
+    for r in rows:
+        assert r.probability == pytest.approx(p[place(r)], rel=1e-3)
 
 
 def test_rake_by_hand():
@@ -197,12 +254,71 @@ def test_simhash_neighbours(docs, texts, odd, none):
         r = got[i]
         assert (r.n_chars, r.edited_sha256, r.fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), prints[i].hex())
         assert r.near_next == simhash.likeness(prints[i], prints[nxt])
+        assert r.near_edited == simhash.likeness(prints[i], simhash.fingerprints([edited.encode()])[0])
     assert sum(r.near_edited for r in got.values()) > 1.2 * sum(r.near_next for r in got.values())
     rows = simhash.edited_pairs(odd, parts=3).collect()
     assert len(rows) == len(ODD) and len({r.fingerprint for r in rows if r.doc_id in (1, 5)}) == 1
     assert simhash.edited_pairs(none).count() == 0
 
 
+def test_fingerprints_agree_with_brute_force(texts):
+    """Signed votes of every term, bit by bit, in plain numbers."""
+    from sievelight.llm.hashing import U, Words, grams, mix
+
+    for t in list(texts.values())[:25]:
+        one = Words([t.encode()], lower=True).hashes()
+        terms = collections.Counter([*one.tolist(), *grams(one, 2).tolist()])
+        votes = [0] * 128
+        for term, n in terms.items():
+            weight = round(float(np.float32(1 + np.log(n))) * 1024)
+            for lane in range(2):
+                h = int(mix(np.array([term], dtype=np.uint64) + U(lane * 0x9E3779B97F4A7C15 & (2**64 - 1)))[0])
+                for k, byte in enumerate(h.to_bytes(8, "little")):
+                    for bit in range(8):
+                        votes[lane * 64 + k * 8 + bit] += weight if byte >> (7 - bit) & 1 else -weight
+        want = int("".join("1" if v > 0 else "0" for v in votes), 2).to_bytes(16, "big")
+        assert simhash.fingerprints([t.encode()])[0] == want
+
+
+def test_neighbours_of_hot_and_null_ids(spark):
+    """A third of the rows under one id, repeated rows and null ids: each row's next is the one the plain order gives."""
+    rng = np.random.RandomState(9)
+    rows = [(7, f"hot text {i}") for i in range(40)] + [(7, "the same row")] * 30 + [(None, f"no id {i}") for i in range(20)] + [(int(i), f"text {i} " + "w " * int(rng.randint(30))) for i in rng.randint(0, 500, 30)] + [(3, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashed = [(r.k, r.h, r.t or "", r.doc_id) for r in df.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"), F.col("text").alias("t")).collect()]
+    hashed.sort(key=lambda r: (r[0], r[1]), reverse=True)
+    want = []
+    for at, (_, _, t, i) in enumerate(hashed):
+        nxt, half = hashed[(at + 1) % len(hashed)][2], len(t) // 2
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
+    for parts in (1, 5, 30):
+        got = [(str(r.doc_id), r.n_chars, r.edited_sha256) for r in simhash.edited_pairs(df, parts=parts).collect()]
+        assert sorted(got) == sorted(want)
+    with pytest.raises(ValueError, match="whole numbers"):
+        simhash.edited_pairs(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_simhash_query_counts_neighbours(spark, tmp_path):
+    """n_near is the number of other fingerprints within the radius, whatever the tiles."""
+    rng = np.random.RandomState(8)
+    base = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(60):
+        w = list(base) if i < 40 else [f"v{k}" for k in rng.randint(0, 10**6, 50)]
+        if i < 40:
+            for at in rng.choice(3000, rng.randint(0, 12), replace=False):
+                w[at] = f"x{rng.randint(10**6)}"
+        rows.append((i, " ".join(w)))
+    spark.createDataFrame(rows + rows[:5], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_simhash(spark, str(tmp_path)).collect()
+    prints = {r.fingerprint for r in got}
+    want = {p: sum(q != p and (int(p, 16) ^ int(q, 16)).bit_count() <= 3 for q in prints) for p in prints}
+    assert len(got) == 65 and all(r.n_near == want[r.fingerprint] for r in got) and max(want.values()) > 1
+    fp = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
+    for tile, blocks in ((2, 4), (4096, 8)):
+        assert {r.fingerprint: r.n_near for r in simhash.neighbours(fp, tile=tile, blocks=blocks).collect()} == {p: n for p, n in want.items() if n}
+
+
 def test_simhash_search_finds_every_near_pair(spark):
     rng = np.random.RandomState(2)
     base = [rng.bytes(16) for _ in range(20)]
@@ -328,8 +444,13 @@ def test_chat_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 0, None, "x"), (1, None, "user", "y"), (None, 1, "user", "z"), (1, 0, "user", None)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     m = chat.linear(df)
-    out = chat.read_back(chat.format_branches(chat.branches(m).join(m.drop("parent"), ["tree", "node"]))).collect()
-    assert [(r.tree, r.n_turns) for r in out] == [(1, 4)]
+    out = chat.read_back(chat.format_branches(chat.with_messages(chat.branches(m), m))).collect()
+    assert sorted((str(r.tree), r.n_turns) for r in out) == [("1", 4), ("None", 1)]
+    m = chat.linear(df.limit(0))
+    assert chat.read_back(chat.format_branches(chat.with_messages(chat.branches(m), m))).count() == 0
+    clash = df.withColumns({c: F.lit("clash") for c in ("tree", "node", "parent", "leaf", "depth", "at", "formatted", "loss", "t", "n", "s")})
+    m = chat.linear(clash)
+    assert chat.read_back(chat.format_branches(chat.with_messages(chat.branches(m), m))).count() == 2
 
 
 def test_rules_agree_with_brute_force(spark, small, docs, texts, odd, none):
@@ -378,3 +499,87 @@ def test_pipeline_stages(spark, small, odd):
     for name, stage in P.STAGES:
         assert stage(spark, odd, small).count() <= len(ODD), name
         assert stage(spark, odd.limit(0), small).count() == 0, name
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    """Rows go by id and text: other texts under the id of a copy stay, and repeated rows become one."""
+    t = "one two three four five six seven eight nine ten"
+    rows = [(1, t), (5, t), (5, "an altogether different text of six words"), (7, t), (7, t), (None, t), (8, t.upper()), (9, "q"), (9, "q"), (10, None), (10, None), (11, ""), (None, "z z")]
+    df = spark.createDataFrame([(i, x, "en", "a", 1) for i, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted((str(r.doc_id), str(r.text)) for r in jaccard.keep(df).collect())
+    assert got == sorted([("1", t), ("5", rows[2][1]), ("9", "q"), ("10", "None"), ("10", "None"), ("11", ""), ("None", "z z")])
+    named = df.withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    assert sorted((str(r.doc_id), str(r.text)) for r in jaccard.keep(named).collect()) == sorted([("id1", t), ("id5", rows[2][1]), ("id9", "q"), ("id10", "None"), ("id10", "None"), ("id11", ""), ("None", "z z")])
+    clash = df.withColumns({c: F.lit(1) for c in ("stays", "text_hash", "touched_id", "touched_text", "key", "class", "t", "id")})
+    assert jaccard.keep(clash).count() == 7 and jaccard.keep(clash).columns == clash.columns
+
+
+def test_boilerplate_in_good_texts_is_marked(spark):
+    """Lines that stand in many unlike good texts are boilerplate; copies of a text do not make its lines so."""
+    rng = np.random.RandomState(7)
+    words_ = [f"prose{i}" for i in range(400)]
+    body = lambda: [" ".join(rng.choice(words_, 12)) + "." for _ in range(6)]
+    notice = ["ALL RIGHTS RESERVED 1999 | LICENCE", "TERMS | PRIVACY | CONTACT | 2001"]
+    unlike = ["\n".join(body() + notice) for _ in range(30)]
+    copied = ["\n".join(body())] * 10
+    junk = ["\n".join(["$$ ## 12 | 99 && %%"] * 8 + [str(i)]) for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(unlike + copied + junk)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(70)], "doc_id bigint, quality int")
+    field = crf.fit(df, labels)
+    new = crf.measure(["\n".join(body() + notice).encode(), copied[0].encode(), junk[0].encode()])
+    got = [field.labels(new)[a:b].tolist() for a, b in zip(new.offsets, new.offsets[1:])]
+    assert got[0] == [1] * 6 + [0, 0] and got[1] == [1] * 6 and not any(got[2])
+    twice = crf.fit(df, labels.union(labels).union(spark.createDataFrame([(None, 1), (69, None)], labels.schema)))
+    assert np.allclose(twice.state, field.state)
+
+
+def test_samples_are_bounded_when_an_id_repeats(spark):
+    from sievelight.llm import sampling
+
+    df = spark.range(500).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    df = df.union(spark.createDataFrame([(2, "two"), (3, "three"), (4, None), (5, "five")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (4, 1), (5, None), (None, 1)], "doc_id bigint, quality int")
+    got = sampling.labelled(df, labels, 10, "doc_id", "text", "quality")
+    assert sorted(q for _, q in got) == [0, 1] and ("two", 0) in got
+    assert len(sampling.texts(df, 7, "text")) == 7 and len(sampling.texts(df.union(df), 10_000, "text")) == 503
+
+
+def test_long_runs_contract_like_short_ones():
+    """Pieces far longer than a block, of several kinds, against the library's own encoder."""
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.load_ranks(queries.tokenizer_file())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    runs = ["".join(rng.choice(a) for _ in range(n)) for n in (90, 99, 100, 101, 900, 5000) for a in ("abcdefghijklmnopqrstuvwxyz", "aeintr", "ab", "0123456789", "日本語中文字", "абвгд", "!?#*")]
+    runs += ["a" * 3000, "the" * 700, " " * 1500 + "x", "ing" * 50 + "s" * 500]
+    own = bpe.Bpe(ranks, public_tokenizers.PATTERN)
+    assert own.encode(runs) == [",".join(map(str, enc.encode_ordinary(t))) for t in runs]
+
+
+def test_lines_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", 7, 8, 9), (2, "a\nb\nc", 7, 8, 9), (3, None, 7, 8, 9)], "doc_id bigint, text string, n_lines int, n_removed int, covered int")
+    got = {r.doc_id: r for r in lines.dedup(df).collect()}
+    assert lines.dedup(df).columns == ["doc_id", "text", "covered", "n_lines", "n_removed"]
+    assert [(got[i].text, got[i].n_lines, got[i].n_removed, got[i].covered) for i in (1, 2, 3)] == [("a\nb\nc", 3, 0, 9), ("", 3, 3, 9), (None, 0, 0, 9)]
+
+
+def test_compression_agrees_with_brute_force(spark, docs, texts):
+    """Scores of every text from the model's dictionaries, one block after the other; ties and repeats score alike."""
+    import zstandard
+
+    labels = spark.createDataFrame([(i, int(k % 3 > 0)) for k, i in enumerate(sorted(texts))], "doc_id bigint, quality int")
+    model = compress.fit(docs, labels, compress.Settings(per_class=20, calibration=20))
+    size = lambda raw, d: sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(raw[i : i + 512])) for i in range(0, len(raw), 512))
+    got = {r.doc_id: r for r in compress.score(docs, model).collect()}
+    for i in sorted(texts)[:60]:
+        raw = texts[i].encode()
+        a, b = size(raw, model.good), size(raw, model.bad)
+        x = (b - a) / max(a, b) if raw else 0.0
+        assert got[i].feature == pytest.approx(x) and got[i].score == pytest.approx(1 / (1 + math.exp(-(model.slope * x + model.intercept))))
+    long = spark.createDataFrame([(1, LONG * 20), (2, LONG * 20), (None, None)], "doc_id bigint, text string")
+    rows = {r.doc_id: r.score for r in compress.score(long, model).collect()}
+    assert rows[1] == rows[2] and 0 < rows[1] < 1 and len(rows) == 3
