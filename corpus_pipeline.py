@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bloom, bpe, crf, jaccard, lines, mix
+from sievelight.llm import bpe, crf, jaccard, lines, mix
 from sievelight.llm.queries import MIXTURE, SAMPLE_SHARE, table, tokenizer_file
 from sievelight.llm.scratch import Scratch
 
@@ -32,10 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates."""
-    found = jaccard.near_duplicates(docs)
-    copies = Scratch(spark).save(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return bloom.drop_ids(docs.select(*COLUMNS), copies, "doc_id")
+    """Keeps one row of each group of near duplicates: that of the smallest id."""
+    return jaccard.keep(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
