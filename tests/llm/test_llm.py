@@ -473,7 +473,7 @@ def test_rules_agree_with_brute_force(spark, small, docs, texts, odd, none):
 def test_viterbi_is_the_best_path():
     rng = np.random.RandomState(0)
     for _ in range(20):
-        f = crf.Field(np.zeros((1, 2)), rng.randn(2, 2), rng.randn(2))
+        f = crf.Field(np.zeros((1, 2)), rng.randn(2, 2), rng.randn(2), np.zeros(crf.LEXICON))
         emit = rng.randn(6, 2)
 
         def total(y):
