@@ -39,35 +39,34 @@ from sievelight.llm.hashing import batches
 #: own), pieces remembered between slices (in each of two generations), and bytes of text
 #: handled at once: they bound a worker's memory.
 CHUNK_BYTES = 160_000
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 SLICE_BYTES = 600_000
 #: Memory of the database: a base, and what a byte of the chunk takes on top.
 BASE_MB, BYTES_A_ROW = 160, 600
 
-#: Rows are (byte position, end of the piece, block, token); a token of -1 is gone.
-#: One round: look at the next row, find each block's lowest (rank, position), and
-#: where that is before those of the blocks beside it, write the merged token there
-#: and strike out the row after it.  Pieces without a change leave the recursion.
+#: Rows are (position, token); a token of -1 is gone.  Positions are bytes, every piece
+#: starting with a block of its own and leaving one empty behind it.  One round: look
+#: at the next row, find each block's lowest (rank, position), and where that is before
+#: those of the blocks beside it, write the merged token there and strike out the row
+#: after it.
 CONTRACT = """
-WITH RECURSIVE state(k, e, b, tok) USING KEY (k) AS (
-  SELECT k, e, b, tok FROM start
+WITH RECURSIVE state(k, tok) USING KEY (k) AS (
+  SELECT k, tok FROM start
   UNION
   (WITH live AS (
-    SELECT k, e, b, tok, lead((k << 20) | tok) OVER (ORDER BY k) AS n
-    FROM recurring.state SEMI JOIN (SELECT DISTINCT e FROM state) USING (e) WHERE tok >= 0
+    SELECT k, tok, lead((k << 20) | tok) OVER (ORDER BY k) AS n FROM recurring.state WHERE tok >= 0
   ), lowest AS (
-    SELECT b, e, min((merged << 43) | (k << 10) | ((n >> 20) - k)) AS best
-    FROM live JOIN merges ON pair = (tok << 20) | (n & 1048575) WHERE n >> 20 < e GROUP BY b, e
+    SELECT k // {block} AS b, min((merged << 43) | (k << 10) | ((n >> 20) - k)) AS best
+    FROM live JOIN merges ON pair = (tok << 20) | (n & 1048575) WHERE (n >> 20) - k < {block} GROUP BY 1
   ), beside AS (
-    SELECT b, e, best,
-           CASE WHEN lag(b) OVER o = b - 1 AND lag(e) OVER o = e THEN lag(best) OVER o END AS l,
-           CASE WHEN lead(b) OVER o = b + 1 AND lead(e) OVER o = e THEN lead(best) OVER o END AS r
+    SELECT best, CASE WHEN lag(b) OVER o = b - 1 THEN lag(best) OVER o END AS l,
+           CASE WHEN lead(b) OVER o = b + 1 THEN lead(best) OVER o END AS r
     FROM lowest WINDOW o AS (ORDER BY b)
   ), chosen AS (
-    SELECT b, e, (best >> 10) & 8589934591 AS k, best & 1023 AS step, best >> 43 AS merged
+    SELECT (best >> 10) & 8589934591 AS k, best & 1023 AS step, best >> 43 AS merged
     FROM beside WHERE (l IS NULL OR best < l) AND (r IS NULL OR best < r)
   )
-  SELECT k + i * step, e, b, CASE i WHEN 0 THEN merged ELSE -1 END FROM chosen, (VALUES (0), (1)) two(i))
+  SELECT k + i * step, CASE i WHEN 0 THEN merged ELSE -1 END FROM chosen, (VALUES (0), (1)) two(i))
 )
 SELECT k, tok FROM state WHERE tok >= 0 ORDER BY k
 """
@@ -139,6 +138,7 @@ class Bpe:
         self.cache: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.block = 3 * max(map(len, ranks))
+        self.query = CONTRACT.format(block=self.block)
 
     def memory(self, rows: int) -> None:
         self.con.execute(f"SET memory_limit = '{BASE_MB + rows * BYTES_A_ROW // 1_000_000}MB'")
@@ -147,13 +147,12 @@ class Bpe:
         """Decimal ids of each piece, by the recursive query."""
         lens = np.array([len(p) for p in pieces], dtype=np.int64)
         blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        starts = np.cumsum(lens) - lens
-        k = np.arange(len(blob), dtype=np.int64)
-        blocks = -(-lens // self.block)
-        b = np.repeat(np.cumsum(blocks) - blocks, lens) + (k - np.repeat(starts, lens)) // self.block
+        blocks = -(-lens // self.block) + 1
+        starts = (np.cumsum(blocks) - blocks) * self.block
+        k = np.arange(len(blob), dtype=np.int64) + np.repeat(starts - (np.cumsum(lens) - lens), lens)
         self.memory(len(blob))
-        self.con.register("start", pa.table({"k": k, "e": np.repeat(starts + lens, lens), "b": b, "tok": self.byte_id[blob]}))
-        out = self.con.execute(CONTRACT).fetchnumpy()
+        self.con.register("start", pa.table({"k": k, "tok": self.byte_id[blob]}))
+        out = self.con.execute(self.query).fetchnumpy()
         self.con.unregister("start")
         ends = [*np.searchsorted(out["k"], starts).tolist(), len(out["k"])]
         ids = list(map(str, out["tok"].tolist()))
