@@ -140,7 +140,7 @@ def count(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts the pairs of every text of ``docs`` and writes the model."""
     spark = docs.sparkSession
     folder = Scratch(spark).path()
-    bits = max(4, (parts_for(docs.select(text_col), SHARD_BYTES) - 1).bit_length())
+    bits = max(4, (parts_for(docs.select(text_col), SHARD_BYTES, 4) - 1).bit_length())
     shards = 1 << bits
 
     def send(key: np.ndarray, columns: list[np.ndarray], order_by: np.ndarray, ids: int, sort: list[bool]) -> pa.RecordBatch:

@@ -35,12 +35,11 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def parts_for(df: DataFrame, bytes_a_part: int) -> int:
-    """How many partitions of about ``bytes_a_part`` a table makes, by the size that its plan states; where it states none, as many as the session deals."""
+def parts_for(df: DataFrame, bytes_a_part: int, least: int | None = None) -> int:
+    """How many partitions of about ``bytes_a_part`` a table makes, by the size that its plan states: ``least`` or more, by default (and where the plan states no size) as many as the session deals."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 52:
-        return max(4, -(-size // bytes_a_part))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    dealt = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return max(least or dealt, -(-size // bytes_a_part)) if size < 1 << 52 else dealt
 
 
 class Scratch:
