@@ -22,17 +22,18 @@ we were what when where which while who whom why will with within without
 would yet you your yours yourself yourselves et al eg ie etc
 """.split()
 
-#: Blocks whose characters may decompose into several ASCII letters or digits (ligatures, fractions, numerals, letter-like signs).
-_SEVERAL = [(0x80, 0x250), (0x2010, 0x2060), (0x20A0, 0x20D0), (0x2100, 0x2190), (0xFB00, 0xFB07)]
+#: Blocks whose characters of several ASCII letters, digits or marks are common in prose (ligatures, fractions, dots, letter-like signs).
+_COMMON = [(0x80, 0x250), (0x2010, 0x2060), (0xFB00, 0xFB07)]
 
 
 def _ascii(c: str) -> str:
     return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
 
 
-def _tables() -> tuple[str, str, list[tuple[str, str]]]:
-    source, target, several = [], [], []
-    for code in range(0x80, 0x10000):
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """Characters that become one ASCII character, what they become, and those that become several, over all code points."""
+    source, target, several = [], [], {}
+    for code in range(0x80, 0x110000):
         if 0xD800 <= code < 0xE000:
             continue
         c = chr(code)
@@ -40,12 +41,14 @@ def _tables() -> tuple[str, str, list[tuple[str, str]]]:
         if len(a) == 1:
             source.append(c)
             target.append(a)
-        elif len(a) > 1 and any(lo <= code < hi for lo, hi in _SEVERAL):
-            several.append((c, a))
+        elif a:
+            several[c] = a
     return "".join(source), "".join(target), several
 
 
 ONE, TO_ONE, SEVERAL = _tables()
+COMMON = [c for c in SEVERAL if any(lo <= ord(c) < hi for lo, hi in _COMMON)]
+RARE = [c for c in SEVERAL if c not in set(COMMON)]
 
 
 def fold_word(text: str) -> str:
@@ -56,14 +59,17 @@ def fold_word(text: str) -> str:
 def fold(text: Column) -> Column:
     """Compatibility decomposition, without what is not ASCII then, in lower case.
 
-    Single characters go through one ``translate``; characters that become several
-    are replaced one by one, but only in texts that hold one.
+    Single characters go through one ``translate``.  Characters that become several
+    are replaced one by one where they are common; texts that hold a rare one (squared
+    units and the like) are mapped character by character.
     """
+    holds = lambda chars: text.rlike("[" + "".join(chars) + "]")
     spread = text
-    for c, a in SEVERAL:
-        spread = F.replace(spread, F.lit(c), F.lit(a))
-    held = text.rlike("[" + "".join(c for c, _ in SEVERAL) + "]")
-    wide = F.when(held, spread).otherwise(text)
+    for c in COMMON:
+        spread = F.replace(spread, F.lit(c), F.lit(SEVERAL[c]))
+    becomes = F.create_map(*[F.lit(x) for c in SEVERAL for x in (c, SEVERAL[c])])
+    each = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(becomes, c), c))
+    wide = F.when(holds(RARE), F.array_join(each, "")).when(holds(COMMON), spread).otherwise(text)
     ascii_only = ~text.rlike("[^\\x00-\\x7F]")
     return F.lower(F.when(ascii_only, text).otherwise(F.regexp_replace(F.translate(wide, ONE, TO_ONE), "[^\\x00-\\x7F]", "")))
 

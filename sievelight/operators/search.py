@@ -184,14 +184,15 @@ def read(notes: DataFrame, ix: Index, cfg: Config) -> tuple[DataFrame, DataFrame
 
     What a note does not say of age and sex is taken from its columns of these names, if it has them.
     """
-    from sievelight.functions.notes import profile_terms, profiles
+    from sievelight.functions import notes as N
 
-    profile = profiles(notes, cfg.abbrev, cfg.negation, cfg.family, ix.stemmed)
+    notes = notes.withColumn("note", F.coalesce("note", F.lit("")))
+    found = N.findings(N.tagged_words(notes, cfg.abbrev, cfg.negation, cfg.family), ix.stemmed)
     known = [c for c in ("age", "sex") if c in notes.columns]
     given = notes.select("qid", *[F.col(c).alias(f"given_{c}") for c in known])
-    said = profile.select("qid", "age", "sex").join(given, "qid")
+    said = N.patients(notes).join(given, "qid")
     patients = said.select("qid", *[F.coalesce(c, f"given_{c}").alias(c) if c in known else F.col(c) for c in ("age", "sex")])
-    return profile_terms(profile), profile_terms(profile, "neg"), patients
+    return N.terms_of(found), N.terms_of(found, "neg"), patients
 
 
 def search_notes(notes: DataFrame, ix: Index, cfg: Config) -> DataFrame:
