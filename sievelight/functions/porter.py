@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Suffix rules of the published algorithm (suffix, replacement).
@@ -97,12 +97,17 @@ def stem_words(words: DataFrame) -> DataFrame:
     (``stem_columns``) agree, but their plan takes longer to optimise than a
     vocabulary takes to stem.
     """
+    return words.select("word", stemmed(F.col("word")).alias("term"))
+
+
+def stemmed(word: Column) -> Column:
+    """The stem of a column of words; each worker remembers the stems it has made, so tokens cross to Python but are never shuffled for it."""
 
     @F.pandas_udf("string")
     def stems(words: pd.Series) -> pd.Series:
         return words.map(stem)
 
-    return words.select("word", stems("word").alias("term"))
+    return stems(word)
 
 
 def stem_columns(words: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.functions.porter import stem_words
+from sievelight.functions.porter import stemmed as stem_of
 from sievelight.functions.text import is_kept, tokens
 from sievelight.schema import CHAMPION_WEIGHTS, CHAMPIONS, CONDITIONS, DESCRIPTION, ITEM_GAP, MOST_TF, TFS, ZLENS, ZONE_BASE
 from sievelight.session import save
@@ -39,30 +39,40 @@ def positioned(words: DataFrame) -> DataFrame:
 
 
 def terms(words: DataFrame, stemmed: bool = True) -> DataFrame:
-    """Replaces ``word`` by ``term``.  Only distinct words are stemmed; Spark broadcasts their table if its measured size allows, and else shuffles."""
-    if not stemmed:
-        return words.withColumnRenamed("word", "term")
-    return words.join(stem_words(words.select("word").distinct()), "word").drop("word")
+    """Replaces ``word`` by ``term``, in place."""
+    return words.withColumn("term", stem_of(F.col("word")) if stemmed else F.col("word")).drop("word")
 
 
-def postings(located: DataFrame) -> DataFrame:
-    """(term, doc, tf0..tf6, flat, positions): the one shuffle of the build, with map-side counts."""
-    counts = [F.least(F.count_if(F.col("zone") == z), F.lit(MOST_TF)).cast("int").alias(c) for z, c in enumerate(TFS)]
+def counted(trials: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(term, doc, n0..n6, positions): whole counts of each term of each document.
+
+    Records are dealt by document once, as texts; positions and counts need no further
+    shuffle, since everything about a document is in one task.
+    """
+    located = terms(positioned(kept_words(trials.repartition("doc"))), stemmed)
+    counts = [F.count_if(F.col("zone") == z).cast("int").alias(f"n{z}") for z in range(7)]
     where = F.array_sort(F.collect_list(F.when(F.col("zone") != DESCRIPTION, F.col("pos")))).alias("positions")
-    out = located.groupBy("term", "doc").agg(*counts, where)
-    return out.withColumn("flat", sum((F.col(c) for c in TFS), F.lit(0)))
+    return located.groupBy("doc", "term").agg(*counts, where).select("term", "doc", *[f"n{z}" for z in range(7)], "positions")
+
+
+def capped(counts: DataFrame) -> DataFrame:
+    """(term, doc, tf0..tf6, flat, positions) of whole counts."""
+    out = counts.select("term", "doc", *[F.least(F.col(f"n{z}"), F.lit(MOST_TF)).alias(c) for z, c in enumerate(TFS)], "positions")
+    return out.select("term", "doc", *TFS, sum((F.col(c) for c in TFS), F.lit(0)).alias("flat"), "positions")
+
 
+def postings(trials: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(term, doc, tf0..tf6, flat, positions) of records."""
+    return capped(counted(trials, stemmed))
 
-def zone_lengths(trials: DataFrame, words: DataFrame) -> DataFrame:
+
+def zone_lengths(trials: DataFrame) -> DataFrame:
     """(doc, zlen0..zlen6): kept tokens of each zone, also of documents without any."""
+    words = kept_words(trials)
     found = words.groupBy("doc").agg(*[F.count_if(F.col("zone") == z).cast("double").alias(c) for z, c in enumerate(ZLENS)])
     return trials.select("doc").join(found, "doc", "left").na.fill(0.0, ZLENS)
 
 
-def lnc_norms(posting: DataFrame) -> DataFrame:
-    return posting.groupBy("doc").agg(F.sqrt(F.sum(F.pow(1 + F.log10(F.col("flat").cast("double")), F.lit(2.0)))).alias("lnc_norm"))
-
-
 def term_stats(posting: DataFrame, n: int) -> DataFrame:
     """(term, df, idf, bm25_idf, cond_df, clinical)."""
     df = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col(TFS[CONDITIONS]) > 0).alias("cond_df"))
@@ -83,10 +93,13 @@ def impact() -> Column:
 
 
 def champions(posting: DataFrame, doc_stat: DataFrame, most: int = CHAMPIONS) -> DataFrame:
-    """(term, doc) of each term's documents of most impact; of equals the smaller document."""
+    """(term, doc, impact, rn) of each term's documents of most impact; of equals the smaller document.
+
+    Tasks rank before the shuffle, so a common term sends ``most`` rows each at most.
+    """
     rated = posting.join(doc_stat.select("doc", "lnc_norm"), "doc").withColumn("impact", F.round(impact(), 9))
     w = Window.partitionBy("term").orderBy(F.desc("impact"), "doc")
-    return rated.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("term", "doc", "impact", F.col("rn").cast("int").alias("rn"))
+    return rated.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select(*posting.columns, "impact", F.col("rn").cast("int").alias("rn"))
 
 
 @dataclass(frozen=True)
@@ -97,6 +110,7 @@ class Index:
     posting: DataFrame
     doc_stat: DataFrame
     term_stat: DataFrame
+    champion: DataFrame
     n: int
     avg: tuple[float, ...]
     stemmed: bool = True
@@ -109,32 +123,34 @@ class Index:
 def build(trials: DataFrame, folder: str, stemmed: bool = True) -> Index:
     """Builds and stores an index.
 
-    Postings are written in ranges of terms, sorted, so that a filter on terms
-    reads few row groups.  Norms and lengths are stored with each document.
+    Two shuffles carry it: records by document, as texts, and counts by ranges of
+    terms.  Postings are written sorted, so that a filter on terms reads few row
+    groups; document statistics, and the champion postings of each term, are stored
+    beside them.  ``load`` reads the same tables.
     """
     trial = save(trials, f"{folder}/trial")
-    words = save(kept_words(trial), f"{folder}/words")
-    located = positioned(words)
-    raw = save(postings(terms(located, stemmed)), f"{folder}/posting_unsorted")
-    posting = save(raw.repartitionByRange("term").sortWithinPartitions("term", "doc"), f"{folder}/posting")
-    lengths = zone_lengths(trial, words)
+    counts = save(counted(trial, stemmed), f"{folder}/counts")
+    posting = save(capped(counts).repartitionByRange("term").sortWithinPartitions("term", "doc"), f"{folder}/posting")
+    weights = 1 + F.log10(sum((F.least(F.col(f"n{z}"), F.lit(MOST_TF)) for z in range(7)), F.lit(0)).cast("double"))
+    found = counts.groupBy("doc").agg(*[F.sum(f"n{z}").cast("double").alias(c) for z, c in enumerate(ZLENS)], F.sqrt(F.sum(weights * weights)).alias("lnc_norm"))
     total = sum((F.col(c) for c in ZLENS), F.lit(0.0)).alias("len")
-    doc_stat = save(lengths.join(lnc_norms(posting), "doc", "left").select("doc", *ZLENS, total, F.coalesce("lnc_norm", F.lit(0.0)).alias("lnc_norm")), f"{folder}/doc_stat")
-    c = corpus_stats(doc_stat).first()
+    doc_stat = save(trial.select("doc").join(found, "doc", "left").na.fill(0.0).select("doc", *ZLENS, total, "lnc_norm"), f"{folder}/doc_stat")
+    c = save(corpus_stats(doc_stat).withColumn("stemmed", F.lit(stemmed)), f"{folder}/corpus_stat").first()
     term_stat = save(term_stats(posting, c["n"]), f"{folder}/term_stat")
-    save(corpus_stats(doc_stat), f"{folder}/corpus_stat")
-    return Index(trial, posting, doc_stat, term_stat, c["n"], tuple(c[f"avg_{z}"] for z in ZLENS), stemmed)
+    best = champions(posting.drop("positions"), doc_stat).drop("impact", "rn")
+    champion = save(best.repartitionByRange("term").sortWithinPartitions("term", "doc"), f"{folder}/champion")
+    return Index(trial, posting, doc_stat, term_stat, champion, c["n"], tuple(c[f"avg_{z}"] for z in ZLENS), stemmed)
 
 
-def load(spark, folder: str, stemmed: bool = True) -> Index:
+def load(spark, folder: str) -> Index:
     """An index stored before."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     c = read("corpus_stat").first()
-    return Index(read("trial"), read("posting"), read("doc_stat"), read("term_stat"), c["n"], tuple(c[f"avg_{z}"] for z in ZLENS), stemmed)
+    return Index(read("trial"), read("posting"), read("doc_stat"), read("term_stat"), read("champion"), c["n"], tuple(c[f"avg_{z}"] for z in ZLENS), c["stemmed"])
 
 
 def totals(ix: Index) -> DataFrame:
     """Documents, terms, postings and stored positions."""
     p = ix.posting.agg(F.count(F.lit(1)).alias("postings"), F.sum(F.size("positions")).cast("bigint").alias("positions"))
     t = ix.term_stat.agg(F.count(F.lit(1)).alias("terms"))
-    return ix.trial.agg(F.count(F.lit(1)).alias("docs")).join(F.broadcast(t)).join(F.broadcast(p))
+    return ix.trial.agg(F.count(F.lit(1)).alias("docs")).crossJoin(t).crossJoin(p)  # one row each

@@ -76,7 +76,7 @@ def fuse(scored: DataFrame, cfg: Config) -> DataFrame:
 def score_candidates(best: DataFrame, notes: DataFrame, ix: Index, scorer: Scorer, known: DataFrame | None = None) -> DataFrame:
     """Candidates with view scores; pairs in ``known`` (qid, doc, ce0, ce1, ce2) are not scored again."""
     todo = best if known is None else best.join(known, ["qid", "doc"], "left_anti")
-    pairs = todo.select("qid", "doc").join(F.broadcast(notes.select("qid", "note")), "qid").join(views(ix.trial), "doc")
+    pairs = todo.select("qid", "doc").join(notes.select("qid", "note"), "qid").join(views(ix.trial), "doc")
     fresh = scorer(pairs).select("qid", "doc", "ce0", "ce1", "ce2")
     return best.join(fresh if known is None else fresh.unionByName(known), ["qid", "doc"])
 

@@ -1,9 +1,11 @@
 """Batched ranked search: all notes of a table at once.
 
 Query terms (qid, term, qtf, first_pos) are few and broadcast by Spark when their
-measured size allows; each is joined with the postings once, scores add up by
-(qid, doc) with map-side aggregation, and documents are ranked by window.  Scores
-are ordered by nine decimals, equal ones by document.
+measured size allows; no side is broadcast by force.  Terms of all kinds are joined
+with the postings once, scores and penalties add up by (qid, doc) with map-side
+aggregation, a query's best score is an aggregate, and only the best documents of
+each task reach the window that ranks them.  Scores are ordered by nine decimals,
+equal ones by document.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.operators.index import Index, champions
+from sievelight.operators.index import Index
 from sievelight.schema import CONDITIONS, EXCLUSION, INCLUSION, TFS, ZLENS, Config
 
 
@@ -21,14 +23,11 @@ def qweight(qtf: Column, cfg: Config) -> Column:
 
 def analyzed(notes: DataFrame, stemmed: bool = True) -> DataFrame:
     """(qid, term, qtf, first_pos) of notes (qid, note) taken as they are."""
-    from sievelight.functions.porter import stem_words
+    from sievelight.functions.porter import stemmed as stem_of
     from sievelight.functions.text import is_kept, tokens
 
     words = notes.select("qid", F.posexplode(tokens(F.col("note"))).alias("pos", "word")).where(is_kept(F.col("word")))
-    if stemmed:
-        words = words.join(stem_words(words.select("word").distinct()), "word")
-    else:
-        words = words.withColumn("term", F.col("word"))
+    words = words.withColumn("term", stem_of(F.col("word")) if stemmed else F.col("word"))
     return words.groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"), F.min("pos").alias("first_pos"))
 
 
@@ -77,10 +76,7 @@ def term_score(ix: Index, cfg: Config, zone_w: tuple[float, ...] | None = None)
 
 def hits(kept: DataFrame, ix: Index, cfg: Config) -> DataFrame:
     """Postings of the kept terms with document statistics; with champion lists only those on them."""
-    posting = ix.posting.drop("positions")
-    if cfg.champions:
-        mine = champions(posting.join(kept.select("term").distinct(), "term", "left_semi"), ix.doc_stat)
-        posting = posting.join(mine.select("term", "doc"), ["term", "doc"], "left_semi")
+    posting = ix.champion if cfg.champions else ix.posting.drop("positions")
     return kept.join(posting, "term").join(ix.doc_stat, "doc")
 
 
@@ -95,20 +91,51 @@ def scanned(kept: DataFrame) -> DataFrame:
     return kept.groupBy("qid").agg(F.sum("df").cast("bigint").alias("scanned"))
 
 
+def work(kept: DataFrame, ix: Index, cfg: Config) -> DataFrame:
+    """(qid, scanned, accumulators): postings that a query reads, and documents they reach."""
+    return hits(kept, ix, cfg).groupBy("qid").agg(F.count(F.lit(1)).alias("scanned"), F.count_distinct("doc").alias("accumulators"))
+
+
+def _penalised(cfg: Config, zone: int, skip_condition: bool) -> Column:
+    """Whether a posting counts for a penalty: its term is often enough a condition (``pen_ratio``) and stands in ``zone``, and, with ``skip_condition``, is no condition of the document."""
+    here = (F.col("clinical") >= cfg.pen_ratio) & (F.col(TFS[zone]) > 0)
+    return here & (F.col(TFS[CONDITIONS]) == 0) if skip_condition else here
+
+
+def _zone_score(ix: Index, cfg: Config, zone: int) -> Column:
+    """One-zone score of a posting; the tf-idf model scores the whole document with the raw frequency."""
+    if cfg.model == "tfidf":
+        return F.col("qtf") * (1 + F.log10(F.col("flat").cast("double"))) / F.col("lnc_norm")
+    return term_score(ix, cfg, tuple(1.0 if z == zone else 0.0 for z in range(7)))
+
+
 def zone_penalty(terms: DataFrame, ix: Index, cfg: Config, zone: int, skip_condition: bool) -> DataFrame:
-    """(qid, doc, penalty): one-zone scores of the terms in ``zone``.
+    """(qid, doc, penalty): one-zone scores of the terms in ``zone``."""
+    found = hits(terms, ix, cfg.but(champions=False)).where(_penalised(cfg, zone, skip_condition))
+    return found.groupBy("qid", "doc").agg(F.sum(_zone_score(ix, cfg, zone)).alias("penalty"))
 
-    Terms that are seldom conditions are left out (``pen_ratio``), and with
-    ``skip_condition`` documents that have the term as a condition.  The tf-idf
-    model scores the whole document with the raw frequency, the others one zone.
+
+def scores(kept: DataFrame, negated: DataFrame | None, ix: Index, cfg: Config) -> DataFrame:
+    """(qid, doc, score, exc, neg): base score and penalties of every document reached, from one pass over the postings.
+
+    With champion lists the base score needs only them, and the penalties all postings,
+    so there are two passes.
     """
-    if cfg.model == "tfidf":
-        terms = terms.withColumn("weight", F.col("qtf"))
-    found = hits(terms.where(F.col("clinical") >= cfg.pen_ratio), ix, cfg.but(champions=False)).where(F.col(TFS[zone]) > 0)
-    if skip_condition:
-        found = found.where(F.col(TFS[CONDITIONS]) == 0)
-    one = tuple(1.0 if z == zone else 0.0 for z in range(7))
-    return found.groupBy("qid", "doc").agg(F.sum(term_score(ix, cfg, one)).alias("penalty"))
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    kept = ltc(kept) if cfg.model == "tfidf" else kept.withColumn("weight", none)
+    columns = ["qid", "term", "qtf", "bm25_idf", "clinical", "weight"]
+    terms = kept.select(*columns, F.lit(True).alias("own"))
+    if cfg.neg_w > 0 and negated is not None:
+        terms = terms.unionByName(resolve(negated, ix).withColumn("weight", none).select(*columns, F.lit(False).alias("own")))
+    own = F.col("own")
+    base = F.coalesce(F.sum(F.when(own, term_score(ix, cfg))), zero).alias("score")
+    exc = F.coalesce(F.sum(F.when(own & _penalised(cfg, EXCLUSION, True), _zone_score(ix, cfg, EXCLUSION))), zero) if cfg.exc_w > 0 else zero
+    neg = F.coalesce(F.sum(F.when(~own & _penalised(cfg, INCLUSION, False), _zone_score(ix, cfg, INCLUSION))), zero) if cfg.neg_w > 0 else zero
+    if not cfg.champions or not (cfg.exc_w > 0 or cfg.neg_w > 0):
+        return hits(terms, ix, cfg).groupBy("qid", "doc").agg(base, exc.alias("exc"), neg.alias("neg"))
+    first = hits(terms, ix, cfg).groupBy("qid", "doc").agg(base)
+    more = hits(terms, ix, cfg.but(champions=False)).groupBy("qid", "doc").agg(exc.alias("exc"), neg.alias("neg"))
+    return first.join(more, ["qid", "doc"])
 
 
 def eligible(age: Column, sex: Column, tolerance: float = 1e-6) -> Column:
@@ -126,7 +153,7 @@ def feedback(base: DataFrame, patients: DataFrame, kept: DataFrame, ix: Index, c
     """
     pool = base
     if cfg.params == "hard":
-        pool = base.join(ix.trial.select("doc", "min_age", "max_age", "gender"), "doc").join(F.broadcast(patients), "qid").where(eligible(F.col("age"), F.col("sex"))).select("qid", "doc", "score")
+        pool = base.join(ix.trial.select("doc", "min_age", "max_age", "gender"), "doc").join(patients.select("qid", "age", "sex"), "qid").where(eligible(F.col("age"), F.col("sex"))).select("qid", "doc", "score")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc")
     top = pool.where(F.col("score") > 0).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cfg.prf_docs).select("qid", "doc")
     size = top.groupBy("qid").agg(F.count(F.lit(1)).alias("n_top"))
@@ -150,21 +177,15 @@ def candidates(qterms: DataFrame, patients: DataFrame, ix: Index, cfg: Config, n
     Scores are divided by the best base score of the query, feedback included.
     """
     kept = select_terms(qterms, ix, cfg).where("kept").drop("kept", "term_rank")
-    base = lexical(kept, ix, cfg)
+    out = scores(kept, negated, ix, cfg)
     if cfg.prf_docs:
-        more = resolve(feedback(base, patients, kept, ix, cfg), ix)
-        base = base.union(lexical(more, ix, cfg)).groupBy("qid", "doc").agg(F.sum("score").alias("score"))
-    base = base.where(F.col("score") > 0)
-    by_query = Window.partitionBy("qid")
-    out = base.withColumn("top", F.max("score").over(by_query))
-    zero = F.lit(0.0)
-    if cfg.exc_w > 0:
-        out = out.join(zone_penalty(kept, ix, cfg, EXCLUSION, True).withColumnRenamed("penalty", "exc"), ["qid", "doc"], "left")
-    if cfg.neg_w > 0 and negated is not None:
-        out = out.join(zone_penalty(resolve(negated, ix), ix, cfg, INCLUSION, False).withColumnRenamed("penalty", "neg"), ["qid", "doc"], "left")
-    for name in ("exc", "neg"):
-        out = out.withColumn(name, F.coalesce(F.col(name), zero) / F.col("top") if name in out.columns else zero)
-    out = out.join(ix.trial.select("doc", "min_age", "max_age", "gender"), "doc").join(F.broadcast(patients.select("qid", "age", "sex")), "qid")
+        more = resolve(feedback(out.select("qid", "doc", "score"), patients, kept, ix, cfg), ix)
+        more = lexical(more, ix, cfg).withColumns({"exc": F.lit(0.0), "neg": F.lit(0.0)})
+        out = out.unionByName(more).groupBy("qid", "doc").agg(*[F.sum(c).alias(c) for c in ("score", "exc", "neg")])
+    out = out.where(F.col("score") > 0)
+    out = out.join(out.groupBy("qid").agg(F.max("score").alias("top")), "qid")
+    out = out.withColumns({c: F.col(c) / F.col("top") for c in ("exc", "neg")})
+    out = out.join(ix.trial.select("doc", "min_age", "max_age", "gender"), "doc").join(patients.select("qid", "age", "sex"), "qid")
     out = out.withColumn("ok", eligible(F.col("age"), F.col("sex")))
     final = F.col("score") / F.col("top") - cfg.exc_w * F.col("exc") - cfg.neg_w * F.col("neg")
     if cfg.params == "soft":
@@ -206,20 +227,22 @@ def search_notes(notes: DataFrame, ix: Index, cfg: Config) -> DataFrame:
     return ranked(found, cfg.k)
 
 
-def explain(qterms: DataFrame, pairs: DataFrame, ix: Index, cfg: Config) -> DataFrame:
-    """(qid, doc, term, score, tf0..tf6): each term's part in the score of given (qid, doc) pairs.
+def explain(qterms: DataFrame, pairs: DataFrame, ix: Index, cfg: Config, most: int = 10) -> DataFrame:
+    """(qid, doc, term, score, tf0..tf6): the ``most`` largest parts in the score of given (qid, doc) pairs.
 
     The tf-idf model shows the raw query frequency as weight, so its parts do not
     add up to the score.
     """
     kept = select_terms(qterms, ix, cfg).where("kept").withColumn("weight", F.col("qtf"))
-    found = kept.join(ix.posting.drop("positions"), "term").join(F.broadcast(pairs.select("qid", "doc")), ["qid", "doc"]).join(ix.doc_stat, "doc")
-    return found.select("qid", "doc", "term", term_score(ix, cfg).alias("score"), *TFS)
+    found = kept.join(ix.posting.drop("positions"), "term").join(pairs.select("qid", "doc"), ["qid", "doc"]).join(ix.doc_stat, "doc")
+    found = found.select("qid", "doc", "term", term_score(ix, cfg).alias("score"), *TFS)
+    w = Window.partitionBy("qid", "doc").orderBy(F.desc(F.round("score", 9)), "term")
+    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
 
 
 def zone_hits(qterms: DataFrame, pairs: DataFrame, ix: Index, zone: int, skip_condition: bool) -> DataFrame:
     """(qid, doc, term): query terms in one zone of given (qid, doc) pairs."""
-    found = qterms.join(ix.posting.where(F.col(TFS[zone]) > 0), "term").join(F.broadcast(pairs.select("qid", "doc")), ["qid", "doc"])
+    found = qterms.join(ix.posting.where(F.col(TFS[zone]) > 0), "term").join(pairs.select("qid", "doc"), ["qid", "doc"])
     if skip_condition:
         found = found.where(F.col(TFS[CONDITIONS]) == 0)
     return found.select("qid", "doc", "term")
@@ -232,7 +255,7 @@ def lookup(ix: Index, word: str) -> DataFrame:
     term = next((t for t, _ in analyze(word, ix.stemmed)), "")
     zones = ix.posting.where(F.col("term") == term).agg(*[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in TFS])
     mine = ix.term_stat.where(F.col("term") == term).select("term", "df", "idf", "bm25_idf", F.least("df", F.lit(500)).alias("champions"))
-    return mine.join(F.broadcast(zones))
+    return mine.crossJoin(zones)  # one row each
 
 
 def posting_preview(ix: Index, word: str, docs: int = 20, places: int = 6) -> DataFrame:

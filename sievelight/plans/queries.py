@@ -98,7 +98,7 @@ def positions_gap(spark, d):
 
 @query("posting_build", f"{O.BASE} SELECT term, doc, {longs(*TFS)}, array_to_string(positions, ' ') AS positions FROM posting")
 def posting_build(spark, d):
-    p = I.postings(I.terms(I.positioned(I.kept_words(trial(spark, d)))))
+    p = I.postings(trial(spark, d))
     return p.select("term", "doc", *as_long(*TFS), F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
@@ -110,14 +110,12 @@ def unstemmed_vocabulary(spark, d):
 
 @query("zone_lengths", f"{O.BASE} SELECT doc, {', '.join(ZLENS)} FROM doc_stat")
 def zone_lengths(spark, d):
-    t = trial(spark, d)
-    return I.zone_lengths(t, I.kept_words(t))
+    return I.zone_lengths(trial(spark, d))
 
 
 @query("avg_zone_len", f"{O.BASE} SELECT n::BIGINT AS n, {', '.join(f'round(a{z}, 6) AS avg_zlen{z}' for z in range(7))} FROM corpus")
 def avg_zone_len(spark, d):
-    t = trial(spark, d)
-    c = I.corpus_stats(I.zone_lengths(t, I.kept_words(t)))
+    c = I.corpus_stats(I.zone_lengths(trial(spark, d)))
     return c.select("n", *r6(*(f"avg_{z}" for z in ZLENS)))
 
 
@@ -193,8 +191,10 @@ def query_vector(spark, d):
 @query("eligibility_join", f"WITH {O.TRIAL}, {O.TOPIC} SELECT qid, count(*) AS n, sum(doc)::BIGINT AS total FROM topic, trial WHERE {O.ELIGIBLE} GROUP BY qid")
 def eligibility_join(spark, d):
     t = trial(spark, d).select("doc", "min_age", "max_age", "gender")
-    both = t.join(F.broadcast(notes(spark, d).select("qid", "age", "sex")), search.eligible(F.col("age"), F.col("sex")))
-    return both.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("doc").alias("total"))
+    # records that admit the same patients are one row, so the range join is among kinds
+    kinds = t.groupBy("min_age", "max_age", "gender").agg(F.count(F.lit(1)).alias("n"), F.sum("doc").alias("total"))
+    both = kinds.join(notes(spark, d).select("qid", "age", "sex"), search.eligible(F.col("age"), F.col("sex")))
+    return both.groupBy("qid").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def _search(name: str, c: Config, read: bool = False) -> None:
@@ -213,7 +213,7 @@ _search("hard_filter_topk", Config(params="hard", k=10))
 _search("soft_filter_topk", Config(params="soft", k=10))
 _search("exclusion_penalty", Config(exc_w=0.4, pen_ratio=0.1, k=10))
 _search("negation_penalty", Config(neg_w=0.4, k=10), read=True)
-_search("tfidf_penalties", Config(model="bm25", exc_w=0.4, neg_w=0.4, k=10), read=True)
+_search("tfidf_penalties", Config(model="tfidf", exc_w=0.4, neg_w=0.4, k=10), read=True)
 _search("full_search", FULL, read=True)
 _search("full_search_hard", FULL.but(params="hard", prf_docs=10, prf_terms=20, prf_w=1.0), read=True)
 
@@ -356,19 +356,6 @@ def rerank_topk(spark, d):
     return out.select("qid", "doc", *as_long("rank"), *r6("fused"))
 
 
-@query("embedding_cosine", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (
-  SELECT a.vec_id AS qid, b.vec_id AS doc, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s
-  FROM e a, e b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
-SELECT qid, doc, rank::BIGINT AS rank, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, doc) AS rank FROM p) WHERE rank <= 5""")
-def embedding_cosine(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("norm", F.sqrt(dot("v", "v")))
-    q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("v").alias("w"), F.col("norm").alias("qnorm"))
-    pairs = e.join(q, F.col("qid") != F.col("vec_id")).select("qid", F.col("vec_id").alias("doc"), (dot("w", "v") / (F.col("qnorm") * F.col("norm"))).alias("s"))
-    return search.ranked(pairs, 5, "s").select("qid", "doc", *as_long("rank"), F.round("s", 5).alias("score"))
-
-
 # ---------------------------------------------------------------- evaluation
 
 _RUN = Config(params="soft", k=1000)

@@ -1,4 +1,4 @@
-"""Streaming extensions: notes as a stream against a stored index, and an index kept up to date.
+"""Streaming extensions: notes as a stream against a stored index, and postings of a stream of records.
 
 The batch engine has no streams of its own to match; these reuse its operators.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.operators.index import Index, kept_words, positioned, postings, terms
+from sievelight.operators.index import Index, postings
 from sievelight.operators.search import analyzed, search
 from sievelight.schema import Config
 
@@ -24,10 +24,14 @@ def match_notes(stream: DataFrame, ix: Index, cfg: Config, path: str, checkpoint
 
 
 def append_records(stream: DataFrame, path: str, checkpoint: str, stemmed: bool = True):
-    """Appends the postings of every micro-batch of new records; a batch that is run again overwrites its own folder."""
+    """Writes the postings of every micro-batch of new records; a batch that is run again overwrites its own folder.
+
+    These are postings alone: statistics of documents and terms change with the whole
+    corpus, so an index is built anew (``index.build``) from old and new records.
+    """
 
     def run(batch: DataFrame, n: int) -> None:
-        postings(terms(positioned(kept_words(batch)), stemmed)).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        postings(batch, stemmed).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
 
