@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.operators.index import Index
-from sievelight.schema import CONDITIONS, EXCLUSION, INCLUSION, TFS, ZLENS, Config
+from sievelight.schema import CHAMPIONS, CONDITIONS, EXCLUSION, INCLUSION, TFS, ZLENS, Config
 
 
 def qweight(qtf: Column, cfg: Config) -> Column:
@@ -86,9 +86,10 @@ def lexical(kept: DataFrame, ix: Index, cfg: Config) -> DataFrame:
     return hits(terms, ix, cfg).groupBy("qid", "doc").agg(F.sum(term_score(ix, cfg)).alias("score"))
 
 
-def scanned(kept: DataFrame) -> DataFrame:
-    """(qid, scanned): postings that a query reads."""
-    return kept.groupBy("qid").agg(F.sum("df").cast("bigint").alias("scanned"))
+def scanned(kept: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(qid, scanned): postings that a query reads, of champion lists if it uses them."""
+    read = F.least(F.col("df"), F.lit(CHAMPIONS)) if cfg.champions else F.col("df")
+    return kept.groupBy("qid").agg(F.sum(read).cast("bigint").alias("scanned"))
 
 
 def work(kept: DataFrame, ix: Index, cfg: Config) -> DataFrame:

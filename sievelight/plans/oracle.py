@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sievelight.functions import notes as N
 from sievelight.functions.porter import stem_cte
 from sievelight.functions.text import STOPWORDS
 from sievelight.schema import CHAMPION_WEIGHTS, Config
@@ -41,7 +42,7 @@ zone_item AS (SELECT doc, zone, unnest(range(len(items)))::INT AS item, unnest(i
 TOPIC = f"""
 topic AS (
   SELECT item_id::VARCHAR AS qid, text AS note, (20 + item_id % 50)::DOUBLE AS age,
-         CASE item_id % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' END AS sex FROM benchmark
+         CASE item_id % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' END AS sex, (2021 + item_id % 2)::BIGINT AS year FROM benchmark
 ),
 qword AS (
   SELECT qid, word, pos FROM (SELECT qid, unnest(ts) AS word, unnest(range(len(ts)))::INT AS pos FROM (SELECT qid, {token_list('note')} AS ts FROM topic))
@@ -87,13 +88,102 @@ df AS (SELECT term, count(*) AS df, count(*) FILTER (tf3 > 0) AS cond_df FROM po
 term_stat AS MATERIALIZED (
   SELECT term, df, log10(n / df) AS idf, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS bm25_idf, cond_df, cond_df / df::DOUBLE AS clinical
   FROM df, corpus
-),
+)
+"""
+
+QTERM = """
 qterm AS MATERIALIZED (
   SELECT qid, term, count(*)::DOUBLE AS qtf, min(pos) AS first_pos FROM qword JOIN stem USING (word) GROUP BY qid, term
 )
 """
 
-BASE = f"WITH {TRIAL}, {TOPIC}, {WORDS}, {STEM}, {INDEX}"
+BASE = f"WITH {TRIAL}, {TOPIC}, {WORDS}, {STEM}, {INDEX}, {QTERM}"
+#: The same without stemming.
+UNSTEMMED = f"WITH {TRIAL}, {TOPIC}, {WORDS}, stem AS MATERIALIZED (SELECT word, word AS term FROM kept UNION SELECT word, word FROM qword), {INDEX}, {QTERM}"
+
+
+def among(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def cue(n: int) -> str:
+    return among(c for c in N.CUES if c.count(" ") == n - 1)
+
+
+def unmasked(note: str) -> str:
+    return f"regexp_replace({note}, '{N.MASKED}', ' ', 'g')"
+
+
+def _ages() -> str:
+    found = []
+    for form, scale in N.AGE_FORMS:
+        n = f"try_cast(regexp_extract(low, '{form}', 1) AS INTEGER)"
+        found.append(f"CASE WHEN regexp_matches(low, '{form}') AND {n} < {N.OLDEST} THEN {{'place': length(regexp_extract(low, '(?s)^(.*?)(?:{form})', 1)), 'age': round({n} * {scale!r}::DOUBLE, 2)}} END")
+    return f"(list_sort(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL)))[1].age"
+
+
+_NOUNS = "\\b(" + "|".join(N.MALE_NOUNS + N.FEMALE_NOUNS) + ")\\b"
+
+
+def read_notes(source: str) -> str:
+    """CTEs that read the notes (qid, note) of ``source``: nsplit, said (qid, place, word, tag), nkept (its terms' words) and who (qid, age, sex)."""
+    head = f"regexp_extract(array_to_string(ws[1:{N.HEAD_WORDS}], ' '), '{_NOUNS}', 1)"
+    count = lambda names: f"len(list_filter(ws, lambda w: w IN {among(names)}))"
+    return f"""
+abbr(short, long) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in N.ABBREVIATIONS.items())}),
+nlex AS MATERIALIZED (SELECT qid, lower({unmasked('note')}) AS low, regexp_extract_all({fold(unmasked('note'))}, '{N.NOTE_WORDS}') AS ws FROM {source}),
+who AS (
+  SELECT qid, {_ages()} AS age,
+         CASE WHEN {head} IN {among(N.FEMALE_NOUNS)} THEN 'female' WHEN {head} <> '' THEN 'male'
+              WHEN {count(N.FEMALE)} > {count(N.MALE)} THEN 'female' WHEN {count(N.MALE)} > {count(N.FEMALE)} THEN 'male' END AS sex
+  FROM nlex
+),
+nsplit AS (
+  SELECT qid, i, unnest(ps) AS w, generate_subscripts(ps, 1) AS j FROM (
+    SELECT qid, i, CASE WHEN contains(w, '/') AND w NOT IN {among(N.ABBREVIATIONS)} THEN list_filter(string_split(w, '/'), lambda x: x <> '') ELSE [w] END AS ps
+    FROM (SELECT qid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM nlex))
+),
+nexp AS (
+  SELECT qid, i, j, unnest(es) AS word, generate_subscripts(es, 1) AS k
+  FROM (SELECT qid, i, j, string_split(coalesce(long, w), ' ') AS es FROM nsplit LEFT JOIN abbr ON short = w)
+),
+nat AS (SELECT qid, word, (row_number() OVER (PARTITION BY qid ORDER BY i, j, k) - 1)::INT AS place FROM nexp),
+nclause AS (
+  SELECT * FROM (SELECT *, sum(CASE WHEN word IN {among(N.CLAUSE_ENDS)} THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY place) AS clause FROM nat)
+  WHERE word NOT IN {among(N.CLAUSE_ENDS)}
+),
+ncue AS (
+  SELECT *, CASE WHEN concat_ws(' ', word, lead(word) OVER c, lead(word, 2) OVER c) IN {cue(3)} THEN 3
+                 WHEN concat_ws(' ', word, lead(word) OVER c) IN {cue(2)} THEN 2 WHEN word IN {cue(1)} THEN 1 ELSE 0 END AS n
+  FROM nclause WINDOW c AS (PARTITION BY qid, clause ORDER BY place)
+),
+nstop AS (
+  SELECT *, max(CASE WHEN n > 0 THEN place + n END) OVER (PARTITION BY qid, clause ORDER BY place) AS stop,
+         max((word IN {among(N.FAMILY)})::INT) OVER (PARTITION BY qid, clause) AS kin FROM ncue
+),
+nback AS (SELECT *, word IN {among(N.AFTER_CUES)} AND NOT coalesce(place < stop, false) AS back FROM nstop),
+said AS MATERIALIZED (
+  SELECT qid, place, word, CASE WHEN kin = 1 THEN 'family'
+    WHEN coalesce(max(back::INT) OVER (PARTITION BY qid, clause ORDER BY place ROWS BETWEEN 1 FOLLOWING AND {N.BACK} FOLLOWING), 0) = 1 THEN 'neg'
+    WHEN coalesce(place < stop, false) OR back THEN 'cue' WHEN place - stop < {N.SCOPE} THEN 'neg' ELSE 'pos' END AS tag FROM nback
+),
+nkept AS MATERIALIZED (
+  SELECT qid, place, tag, surface, word FROM (SELECT qid, place, tag, word AS surface, unnest(regexp_extract_all(word, '[a-z0-9]+')) AS word FROM said WHERE tag <> 'cue')
+  WHERE {kept('word')}
+)"""
+
+
+FINDING = """finding AS MATERIALIZED (
+  SELECT qid, term, pos, CASE WHEN pos > neg THEN 0 ELSE neg END AS neg, family, first_pos FROM (
+    SELECT qid, term, count(*) FILTER (tag = 'pos') AS pos, count(*) FILTER (tag = 'neg') AS neg, count(*) FILTER (tag = 'family') AS family, min(place) AS first_pos
+    FROM nkept JOIN stem USING (word) GROUP BY qid, term)
+)"""
+#: The same base, with the notes read first; what they do not say of age and sex is taken from the table.
+READ = f"""WITH {TRIAL}, {TOPIC.replace('topic AS (', 'topic0 AS (').split('qword AS')[0]} {read_notes('topic0')},
+topic AS (SELECT t.qid, note, coalesce(w.age, t.age) AS age, coalesce(w.sex, t.sex) AS sex, year FROM topic0 t JOIN who w USING (qid)),
+{WORDS}, {STEM.replace('FROM qword', 'FROM nkept')}, {INDEX}, {FINDING},
+qterm AS (SELECT qid, term, pos::DOUBLE AS qtf, first_pos FROM finding WHERE pos > 0),
+negterm AS (SELECT qid, term, neg::DOUBLE AS qtf, first_pos FROM finding WHERE neg > 0)"""
 
 
 def qweight(qtf: str, c: Config) -> str:
@@ -156,7 +246,7 @@ def penalty(c: Config, zone: int, skip: bool, terms: str, name: str) -> str:
     one = tuple(1.0 if z == zone else 0.0 for z in range(7))
     skip_sql = "AND tf3 = 0" if skip else ""
     return f"""{name} AS (
-  SELECT qid, doc, sum({score(c, one)}) AS penalty FROM {terms} JOIN posting USING (term) JOIN doc_stat USING (doc), corpus
+  SELECT qid, doc, sum({score(c, one).replace('weight', 'qtf')}) AS penalty FROM {terms} JOIN posting USING (term) JOIN doc_stat USING (doc), corpus
   WHERE clinical >= {c.pen_ratio}::DOUBLE AND tf{zone} > 0 {skip_sql} GROUP BY qid, doc
 )"""
 
@@ -190,7 +280,7 @@ def candidates(c: Config) -> str:
         parts.append(penalty(c, 6, True, "sel", "pexc"))
         exc, joins = "coalesce(e.penalty, 0) / top", joins + " LEFT JOIN pexc e ON e.qid = b.qid AND e.doc = b.doc"
     if c.neg_w > 0:
-        parts.append("negated AS (SELECT * FROM chosen WHERE first_pos % 7 = 0)")
+        parts.append("negated AS (SELECT q.*, df, idf, bm25_idf, clinical FROM negterm q JOIN term_stat t ON t.term = q.term)")
         parts.append(penalty(c, 5, False, "negated", "pneg"))
         neg, joins = "coalesce(g.penalty, 0) / top", joins + " LEFT JOIN pneg g ON g.qid = b.qid AND g.doc = b.doc"
     soft = f" - CASE WHEN ok THEN 0 ELSE {c.soft}::DOUBLE END" if c.params == "soft" else ""
@@ -213,12 +303,9 @@ def ranked(source: str, k: int, by: str = "final", name: str = "run") -> str:
 
 QRELS = """
 qrel AS MATERIALIZED (
-  SELECT qid, doc, max(rel) AS rel FROM (
-    SELECT item_id::VARCHAR AS qid, d.doc_id AS doc, 2 AS rel FROM documents d JOIN labels l ON l.doc_id = d.doc_id, benchmark b
-    WHERE contains(d.text, b.text) AND len(regexp_extract_all(b.text, '[^ \\n]+')) >= 5
-    UNION ALL
-    SELECT item_id::VARCHAR, d.doc_id, CASE WHEN toxic = 1 THEN 1 ELSE 0 END FROM documents d JOIN labels l ON l.doc_id = d.doc_id JOIN benchmark b ON d.doc_id % 10 = b.item_id % 10
-  ) GROUP BY qid, doc
+  SELECT item_id::VARCHAR AS qid, d.doc_id AS doc,
+         max(CASE WHEN contains(d.text, b.text) AND len(regexp_extract_all(b.text, '[^ \\n]+')) >= 5 THEN 2 WHEN toxic = 1 THEN 1 ELSE 0 END) AS rel
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id, benchmark b GROUP BY ALL
 )
 """
 

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions import notes as N
-from sievelight.functions.porter import stem_words
+from sievelight.functions.porter import stem_cte, stem_words
 from sievelight.functions.text import tokens
 from sievelight.operators import boolean, evaluate, rerank, search
 from sievelight.operators import index as I
 from sievelight.plans import oracle as O
 from sievelight.schema import EXCLUSION, INCLUSION, TFS, ZLENS, Config
-from sievelight.session import new_folder
+from sievelight.session import new_folder, save
 from sievelight.sources import topics, trials
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_built: dict[tuple[str, str], I.Index] = {}
+_built: dict[tuple, tuple[I.Index, str]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -40,11 +40,16 @@ def trial(spark, d) -> DataFrame:
     return trials.from_documents(table(spark, d, "documents"))
 
 
-def index(spark: SparkSession, d: str) -> I.Index:
-    """The index of a folder of tables, built once an application."""
-    key = (spark.sparkContext.applicationId, d)
+def index(spark: SparkSession, d: str, stemmed: bool = True) -> I.Index:
+    """The index of a folder of tables, built once an application; its tables stay in the shared folder for the queries that follow."""
+    return _index(spark, d, stemmed)[0]
+
+
+def _index(spark: SparkSession, d: str, stemmed: bool) -> tuple[I.Index, str]:
+    key = (spark.sparkContext.applicationId, d, stemmed)
     if key not in _built:
-        _built[key] = I.build(trial(spark, d), new_folder(spark))
+        folder = new_folder(spark)
+        _built[key] = (I.build(trial(spark, d), folder, stemmed), folder)
     return _built[key]
 
 
@@ -139,6 +144,11 @@ def index_totals(spark, d):
     return I.totals(index(spark, d))
 
 
+@query("index_reload", ORACLES["index_totals"])
+def index_reload(spark, d):
+    return I.totals(I.load(spark, _index(spark, d, True)[1]))
+
+
 @query("champions_topr", f"{O.BASE}, {O.champion(5)} SELECT term, doc, round(impact, 6) AS impact, rn::BIGINT AS rn FROM champion")
 def champions_topr(spark, d):
     ix = index(spark, d)
@@ -183,6 +193,12 @@ def postings_scanned(spark, d):
     return search.scanned(search.select_terms(qterms(spark, d), index(spark, d), Config(max_terms=20)).where("kept"))
 
 
+@query("search_work", f"{O.BASE}, {O.selected(Config(max_terms=20))} SELECT qid, count(*) AS scanned, count(DISTINCT doc) AS accumulators FROM sel JOIN posting USING (term) GROUP BY qid")
+def search_work(spark, d):
+    ix, c = index(spark, d), Config(max_terms=20)
+    return search.work(search.select_terms(qterms(spark, d), ix, c).where("kept"), ix, c)
+
+
 @query("query_vector", f"{O.BASE} SELECT qid, q.term AS term, qtf, df, {s6('bm25_idf')} FROM qterm q JOIN term_stat t ON t.term = q.term")
 def query_vector(spark, d):
     return search.query_vector(qterms(spark, d), index(spark, d)).select("qid", "term", "qtf", "df", *r6("bm25_idf"))
@@ -199,7 +215,7 @@ def eligibility_join(spark, d):
 
 def _search(name: str, c: Config, read: bool = False) -> None:
     """With ``read`` the notes are read first, else their words are taken as they are."""
-    sql = f"{O.BASE}, {O.candidates(c)}, {O.ranked('cand', c.k)} SELECT qid, doc, rank, ok, {s6('base', 'exc', 'neg', 'final')} FROM run"
+    sql = f"{O.READ if read else O.BASE}, {O.candidates(c)}, {O.ranked('cand', c.k)} SELECT qid, doc, rank, ok, {s6('base', 'exc', 'neg', 'final')} FROM run"
 
     @query(name, sql)
     def run(spark, d, c=c):
@@ -236,12 +252,23 @@ def _top(spark, d, k: int) -> DataFrame:
 _top_sql = f"{O.BASE}, {O.selected(Config())}, {O.scored(Config())}, {O.ranked('lex', 3, 'score', 'best')}"
 
 
-@query("explain_terms", f"{_top_sql} SELECT b.qid AS qid, b.doc AS doc, term, {longs(*TFS)}, round({O.score(Config())}, 6) AS score FROM best b JOIN sel USING (qid) JOIN posting p USING (term, doc) JOIN doc_stat USING (doc), corpus")
+_explain_sql = f"""{_top_sql}, parts AS (
+  SELECT b.qid AS qid, b.doc AS doc, p.term AS term, {longs(*TFS)}, {O.score(Config())} AS score FROM best b JOIN sel USING (qid) JOIN posting p USING (term, doc) JOIN doc_stat USING (doc), corpus
+) SELECT qid, doc, term, {', '.join(TFS)}, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY round(score, 9) DESC, term) AS rn FROM parts) WHERE rn <= 10"""
+
+
+@query("explain_terms", _explain_sql)
 def explain_terms(spark, d):
     out = search.explain(qterms(spark, d), _top(spark, d, 3), index(spark, d), Config())
     return out.select("qid", "doc", "term", *as_long(*TFS), *r6("score"))
 
 
+@query("point_lookup", f"{_top_sql} SELECT qid, doc, id, title, gender FROM best JOIN trial USING (doc)")
+def point_lookup(spark, d):
+    best = _top(spark, d, 3).select("qid", "doc")
+    return trials.lookup(index(spark, d).trial, best, "id", "title", "gender").select("qid", "doc", "id", "title", "gender")
+
+
 @query("zone_hits", f"{_top_sql} SELECT 'exclusion' AS zone, qid, doc, term FROM best JOIN qterm USING (qid) JOIN posting USING (term, doc) WHERE tf6 > 0 AND tf3 = 0 UNION ALL SELECT 'inclusion', qid, doc, term FROM best JOIN qterm USING (qid) JOIN posting USING (term, doc) WHERE tf5 > 0")
 def zone_hits(spark, d):
     q, best, ix = qterms(spark, d), _top(spark, d, 3), index(spark, d)
@@ -273,6 +300,7 @@ BOOLEAN = {
     "bool_nested": ("(erin OR title:tion) AND NOT (ing AND sex:female) AND age:45", f"((({_term('erin')}) UNION ({_term('tion', 0)})) INTERSECT ({_AGE45})) EXCEPT (({_term('ing')}) INTERSECT ({_FEMALE}))"),
     "bool_or_not": ("erin OR NOT tion", f"({_term('erin')}) UNION ((SELECT doc FROM trial) EXCEPT ({_term('tion')}))"),
     "bool_stop_words": ("the AND erin", _term("erin")),
+    "bool_only_nots": ("NOT en NOT tion", f"(SELECT doc FROM trial) EXCEPT ({_term('en')}) EXCEPT ({_term('tion')})"),
     "phrase_any": ('"eriner thanea"', _phrase([("erin", 0), ("thanea", 1)])),
     "phrase_zone": ('title:"anea eriner" OR conditions:"reed ha"', f"({_phrase([('anea', 0), ('erin', 1)], 0)}) UNION ({_phrase([('reed', 0), ('ha', 1)], 3)})"),
     "phrase_gap": ('"attion to thanedble"', _phrase([("attion", 0), ("thanedbl", 2)])),
@@ -284,6 +312,23 @@ for _name, (_q, _sql) in BOOLEAN.items():
         return boolean.matches(index(spark, d), q)
 
 
+_ERRORS = {"": "unexpected end of query", "erin AND": "unexpected end of query", "(erin": "unexpected end of query", "erin )": "unexpected ')'", "()": "unbalanced ')'", "age:abc": "bad age filter 'abc'", "sex:all": "sex must be male or female", "erin": ""}
+
+
+@query("query_errors", "SELECT * FROM (VALUES " + ", ".join(f"""('{q}', '{m.replace("'", "''")}')""" for q, m in _ERRORS.items()) + ") t(query, message)")
+def query_errors(spark, d):
+    """The reader's own messages; a query string is no table."""
+
+    def message(q: str) -> str:
+        try:
+            boolean.parse(q)
+        except boolean.QueryError as e:
+            return str(e)
+        return ""
+
+    return spark.createDataFrame([(q, message(q)) for q in _ERRORS], "query string, message string")
+
+
 _RANKED = "(erin OR ing) tion NOT en"
 _ranked_sql = f"""{O.BASE}, m AS (((({_term('erin')}) UNION ({_term('ing')})) INTERSECT ({_term('tion')})) EXCEPT ({_term('en')})),
 sel AS (SELECT 'q' AS qid, term, 1.0::DOUBLE AS qtf, bm25_idf FROM term_stat WHERE term IN ('erin', 'ing', 'tion')), {O.scored(Config())}
@@ -335,10 +380,17 @@ def _fused(c: Config) -> str:
     return f"{1 - c.alpha}::DOUBLE * ({O.minmax('final')}) + {c.alpha}::DOUBLE * ({O.minmax('ce0')}) + {c.inc_view}::DOUBLE * ({O.minmax('ce1')}) - {c.exc_view}::DOUBLE * ({O.minmax('ce2')}) + {c.elig_w}::DOUBLE * ok::INT"
 
 
+_scored: dict[tuple, DataFrame] = {}
+
+
 def _seen(spark, d) -> DataFrame:
-    ix, c = index(spark, d), _RERANK
-    first = search.ranked(search.candidates(qterms(spark, d), notes(spark, d), ix, c), c.rerank_k)
-    return rerank.score_candidates(first, notes(spark, d), ix, rerank.overlap_scorer)
+    """Candidates with view scores, stored once an application: grids and ladders only fuse them anew."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _scored:
+        ix, c = index(spark, d), _RERANK
+        first = search.ranked(search.candidates(qterms(spark, d), notes(spark, d), ix, c), c.rerank_k)
+        _scored[key] = save(rerank.score_candidates(first, notes(spark, d), ix, rerank.overlap_scorer), new_folder(spark))
+    return _scored[key]
 
 
 @query("minmax_fuse", f"{_seen_sql} SELECT qid, doc, {s6('ce0', 'ce1', 'ce2')}, round({_fused(_RERANK)}, 6) AS fused FROM seen")
@@ -356,6 +408,28 @@ def rerank_topk(spark, d):
     return out.select("qid", "doc", *as_long("rank"), *r6("fused"))
 
 
+@query("cached_scores", ORACLES["rerank_topk"])
+def cached_scores(spark, d):
+    """Every second pair has its scores from a table of known ones."""
+    ix, n = index(spark, d), notes(spark, d)
+    found = search.candidates(qterms(spark, d), n, ix, _RERANK)
+    known = _seen(spark, d).where(F.col("rank") % 2 == 0).select("qid", "doc", "ce0", "ce1", "ce2")
+    out = rerank.rerank(found, n, ix, _RERANK, known=known)
+    return out.select("qid", "doc", *as_long("rank"), *r6("fused"))
+
+
+_lengths_sql = _seen_sql.replace(O.overlap("note", "view0"), "length(view0)").replace(O.overlap("note", "view1"), "length(view1)").replace(O.overlap("note", "view2"), "length(view2)")
+
+
+@query("model_scorer", f"{_lengths_sql} SELECT qid, doc, {', '.join(f'ce{i}::DOUBLE AS ce{i}' for i in range(3))}, round({_fused(_RERANK)}, 6) AS fused FROM seen")
+def model_scorer(spark, d):
+    """The scorer interface with a stand-in for a model: the length of a view."""
+    ix, n = index(spark, d), notes(spark, d)
+    first = search.ranked(search.candidates(qterms(spark, d), n, ix, _RERANK), _RERANK.rerank_k)
+    scorer = rerank.model_scorer(lambda: lambda note, texts: [float(len(t)) for t in texts])
+    return rerank.fuse(rerank.score_candidates(first, n, ix, scorer), _RERANK).select("qid", "doc", "ce0", "ce1", "ce2", *r6("fused"))
+
+
 # ---------------------------------------------------------------- evaluation
 
 _RUN = Config(params="soft", k=1000)
@@ -393,12 +467,14 @@ def condensed_metrics(spark, d):
     return evaluate.metrics(evaluate.condensed(_run(spark, d), j), j).select("qid", *r6("ndcg10", "p10"))
 
 
-@query("judgement_stats", f"WITH {O.QRELS} SELECT count(*) FILTER (rel = 0) AS not_relevant, count(*) FILTER (rel = 1) AS excluded, count(*) FILTER (rel = 2) AS eligible, count(DISTINCT qid) AS topics FROM qrel")
+@query("judgement_stats", f"WITH {O.QRELS} SELECT (2021 + qid::BIGINT % 2)::BIGINT AS year, count(*) FILTER (rel = 0) AS not_relevant, count(*) FILTER (rel = 1) AS excluded, count(*) FILTER (rel = 2) AS eligible, count(DISTINCT qid) AS topics FROM qrel GROUP BY 1")
 def judgement_stats(spark, d):
-    return evaluate.judgement_stats(qrels(spark, d))
+    n = notes(spark, d)
+    years = topics.union_years(*[n.where(F.col("year") == y) for y in (2021, 2022)])
+    return evaluate.judgement_stats(qrels(spark, d).join(years.select("qid", "year"), "qid"), ("year",)).select(*as_long("year"), "not_relevant", "excluded", "eligible", "topics")
 
 
-POINTS = [dict(alpha=a, inc_view=i, exc_view=e, elig_w=w) for a in (0.0, 0.5, 1.0) for i in (0.0, 0.4) for e in (0.0, 0.1) for w in (0.0, 0.2)]
+POINTS = evaluate.points(evaluate.FUSION_GRID)
 _points = ", ".join(f"({i}, {p['alpha']}::DOUBLE, {p['inc_view']}::DOUBLE, {p['exc_view']}::DOUBLE, {p['elig_w']}::DOUBLE)" for i, p in enumerate(POINTS))
 _grid_sql = f"""{_seen_sql}, {O.QRELS}, point(point, alpha, inc_view, exc_view, elig_w) AS (VALUES {_points}),
 mm AS (SELECT qid, doc, {O.minmax('final')} AS f, {O.minmax('ce0')} AS c0, {O.minmax('ce1')} AS c1, {O.minmax('ce2')} AS c2, ok::INT AS e FROM seen),
@@ -433,26 +509,62 @@ def cv_folds(spark, d):
     return evaluate.cross_validate(_grid(spark, d)).select(*as_long("fold", "point"), *r6("test", "train"))
 
 
+_ladder = evaluate.ladder({"alpha": 0.5, "inc_view": 0.4, "exc_view": 0.1, "elig_w": 0.2})
+_ladder_points = [{"point": float(i), **p} for i, (_, p) in enumerate(_ladder)]
+_ladder_sql = _grid_sql.replace(_points, ", ".join(f"({i}, {p['alpha']}::DOUBLE, {p['inc_view']}::DOUBLE, {p['exc_view']}::DOUBLE, {p['elig_w']}::DOUBLE)" for i, (_, p) in enumerate(_ladder)))
+
+
+def _ladder_table(spark, d) -> DataFrame:
+    named = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(_ladder)], "point int, system string")
+    runs = evaluate.fusion_runs(_seen(spark, d), evaluate.grid(spark, [p for _, p in _ladder]))
+    per = evaluate.metrics(runs, qrels(spark, d), ("point", "qid"))
+    return evaluate.means(per, ("point",)).join(named, "point")
+
+
+@query("fusion_ladder", f"{_ladder_sql} SELECT point::BIGINT AS point, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _ALL)} FROM met GROUP BY point")
+def fusion_ladder(spark, d):
+    return _ladder_table(spark, d).select(*as_long("point"), *r6(*_ALL))
+
+
+_shown_sql = f"""{_ladder_sql}, t AS (SELECT point, {', '.join(f'avg({m}) AS {m}' for m in _ALL)} FROM met GROUP BY point)
+SELECT a.point::BIGINT AS point FROM t a, t b WHERE b.point = 4 AND (a.point = 4 OR NOT ({' AND '.join(f'round(a.{m}, 9) = round(b.{m}, 9)' for m in _ALL)}))"""
+
+
+@query("shown_systems", _shown_sql)
+def shown_systems(spark, d):
+    table = _ladder_table(spark, d).select("point", "system", *[F.round(m, 9).alias(m) for m in _ALL])
+    return evaluate.shown(table, "all", _ALL).select(*as_long("point"))
+
+
+@query("cv_permuted")
+def cv_permuted(spark, d):
+    """Five folds by a seeded permutation of the notes in order of their numbers; SQL has no such permutation."""
+    qids = [r.qid for r in notes(spark, d).select("qid").distinct().orderBy(F.length("qid"), "qid").collect()]  # as many as there are notes
+    folds = spark.createDataFrame(list(evaluate.permuted_folds(qids).items()), "qid string, fold int")
+    return evaluate.cross_validate(_grid(spark, d), folds=folds).select(*as_long("fold", "point"), *r6("test", "train"))
+
+
 _SYSTEMS = {"tfidf": Config(model="tfidf", k=100), "bm25": Config(model="bm25", k=100), "bm25f": Config(k=100)}
 
 
-def _systems(spark, d) -> DataFrame:
+def _systems(spark, d, configs=None) -> DataFrame:
     ix, q = index(spark, d), qterms(spark, d)
     runs = None
-    for name, c in _SYSTEMS.items():
+    for name, c in (configs or _SYSTEMS).items():
         one = search.search(q, notes(spark, d), ix, c).select(F.lit(name).alias("system"), "qid", "doc", "rank")
         runs = one if runs is None else runs.union(one)
     return evaluate.metrics(runs, qrels(spark, d), ("system", "qid"))
 
 
-def _systems_sql() -> str:
-    out = O.BASE
-    for name, c in _SYSTEMS.items():
-        part = f"{O.selected(c)}, {O.scored(c)}, {O.ranked('lex', 100, 'score')}"
+def _systems_sql(configs=None) -> str:
+    configs = configs or _SYSTEMS
+    out = f"{O.BASE}, {O.champion(500)}"
+    for name, c in configs.items():
+        part = f"{O.selected(c)}, {O.scored(c)}, {O.ranked('lex', c.k, 'score')}"
         for cte in ("chosen", "sel", "lex", "run"):
             part = part.replace(f"{cte} AS (", f"{cte}_{name} AS (").replace(f"FROM {cte} ", f"FROM {cte}_{name} ").replace(f"FROM {cte})", f"FROM {cte}_{name})")
         out += f", {part}"
-    runs = " UNION ALL ".join(f"SELECT '{n}' AS system, qid, doc, rank FROM run_{n}" for n in _SYSTEMS)
+    runs = " UNION ALL ".join(f"SELECT '{n}' AS system, qid, doc, rank FROM run_{n}" for n in configs)
     return f"{out}, {O.QRELS}, runs AS ({runs}), {O.metrics('runs', 'system, qid')}"
 
 
@@ -471,40 +583,140 @@ def paired_ttest(spark, d):
     return evaluate.paired(_systems(spark, d), "tfidf", "bm25f").select("n", *r6("delta", "t"), "wins", "losses")
 
 
+_GAIN = "SELECT '{0}' AS a, '{1}' AS b, printf('%.0f', ((SELECT avg(ndcg10) FROM met WHERE system = '{0}') / nullif((SELECT avg(ndcg10) FROM met WHERE system = '{1}'), 0) - 1) * 100) AS percent"
+
+
+@query("relative_gain", f"{_systems_sql()} {_GAIN.format('bm25f', 'tfidf')}")
+def relative_gain(spark, d):
+    mean = evaluate.means(_systems(spark, d).select("system", "qid", "ndcg10")).groupBy().pivot("system", ["bm25f", "tfidf"]).agg(F.first("ndcg10"))
+    return mean.select(F.lit("bm25f").alias("a"), F.lit("tfidf").alias("b"), evaluate.relative_gain(F.col("bm25f"), F.nullif(F.col("tfidf"), F.lit(0.0))).alias("percent"))
+
+
+@query("significance_table")
+def significance_table(spark, d):
+    """Differences, t and signed-rank tests; the distributions of both are no SQL."""
+    out = evaluate.significance(_systems(spark, d), [("tfidf", "bm25f"), ("bm25", "bm25f")])
+    return out.select("a", "b", "n", *r6("delta", "t_p", "wilcoxon_p"), evaluate.p_text(F.col("t_p")).alias("t_text"), "wins", "losses")
+
+
+@query("latex_table")
+def latex_table(spark, d):
+    return evaluate.latex_rows(evaluate.means(_systems(spark, d)), ("ndcg10", "p10", "p10_lenient", "rr", "r1000", "excluded10"))
+
+
+_EFFICIENCY = {f"m{m}" if m else "every": Config(max_terms=m, k=10) for m in evaluate.ELIMINATION} | {"champions": Config(champions=True, k=10)}
+_scanned = " UNION ALL ".join(f"SELECT '{n}' AS system, qid, sum({'least(df, 500)' if c.champions else 'df'})::DOUBLE AS scanned FROM sel_{n} GROUP BY qid" for n, c in _EFFICIENCY.items())
+_efficiency_sql = f"""{_systems_sql(_EFFICIENCY)}, work AS ({_scanned})
+SELECT m.system AS system, round(avg(ndcg10), 6) AS ndcg10, round(avg(scanned), 6) AS scanned FROM met m JOIN work w ON w.system = m.system AND w.qid = m.qid GROUP BY m.system"""
+
+
+def _efficiency(spark, d) -> DataFrame:
+    ix, q = index(spark, d), qterms(spark, d)
+    work = None
+    for name, c in _EFFICIENCY.items():
+        one = search.scanned(search.select_terms(q, ix, c).where("kept"), c).select(F.lit(name).alias("system"), "qid", "scanned")
+        work = one if work is None else work.union(one)
+    return evaluate.means(_systems(spark, d, _EFFICIENCY).select("system", "qid", "ndcg10").join(work, ["system", "qid"]))
+
+
+@query("efficiency_table", _efficiency_sql)
+def efficiency_table(spark, d):
+    return _efficiency(spark, d).select("system", *r6("ndcg10", "scanned"))
+
+
+_curve_sql = f"""{_efficiency_sql.replace('SELECT m.system AS system, round', ', e AS (SELECT m.system AS system, round', 1)}),
+p AS (SELECT row_number() OVER (ORDER BY scanned, system) AS n, system AS label, scanned AS x, ndcg10 AS y FROM e),
+moved AS (SELECT *, CASE WHEN lag(x) OVER (ORDER BY n) = x AND lag(y) OVER (ORDER BY n) = y THEN 0 ELSE 1 END AS mv FROM p),
+runs2 AS (SELECT *, sum(mv) OVER (ORDER BY n) AS rn FROM moved)
+SELECT string_agg(label, ' = ' ORDER BY n) AS label, x, y, min(n)::BIGINT AS n FROM runs2 GROUP BY rn, x, y"""
+
+
+@query("curve_points", _curve_sql)
+def curve_points(spark, d):
+    e = _efficiency(spark, d).select("system", *r6("ndcg10", "scanned"))
+    order = Window.orderBy("scanned", "system")  # a curve has a few points
+    return evaluate.merged_points(e.select(F.row_number().over(order).cast("bigint").alias("n"), F.col("system").alias("label"), F.col("scanned").alias("x"), F.col("ndcg10").alias("y")))
+
+
+_unstemmed = Config(k=10)
+
+
+@query("unstemmed_search", f"{O.UNSTEMMED}, {O.selected(_unstemmed)}, {O.scored(_unstemmed)}, {O.ranked('lex', 10, 'score')} SELECT qid, doc, rank::BIGINT AS rank, {s6('score')} FROM run")
+def unstemmed_search(spark, d):
+    """Search in a second index, built without stemming."""
+    ix = index(spark, d, False)
+    kept = search.select_terms(search.analyzed(notes(spark, d), False), ix, _unstemmed).where("kept")
+    return search.ranked(search.lexical(kept, ix, _unstemmed), 10, "score").select("qid", "doc", *as_long("rank"), *r6("score"))
+
+
+_walk_sql = f"""{_systems_sql({'before': Config(model='tfidf', k=10), 'after': Config(k=10)})}, g AS (
+  SELECT r.qid, sum((CASE q.rel WHEN 2 THEN 1 WHEN 1 THEN -1 ELSE 0 END) * (CASE system WHEN 'after' THEN 1 ELSE -1 END)) AS gain
+  FROM runs r JOIN qrel q ON q.qid = r.qid AND q.doc = r.doc GROUP BY r.qid)
+SELECT t.qid AS qid, coalesce(gain, 0)::BIGINT AS gain FROM topic t LEFT JOIN g ON g.qid = t.qid WHERE length(note) < 700 ORDER BY 2 DESC, length(t.qid), t.qid LIMIT 1"""
+
+
+@query("walkthrough", _walk_sql)
+def walkthrough(spark, d):
+    ix, q, n = index(spark, d), qterms(spark, d), notes(spark, d)
+    before, after = (search.search(q, n, ix, c) for c in (Config(model="tfidf", k=10), Config(k=10)))
+    return evaluate.walkthrough(before, after, qrels(spark, d), n)
+
+
+#: Settings that stand in for tuned ones: the values of the grids that the full search uses.
+TUNED = {"raw": Config(**evaluate.UNREAD), "profile": Config(), "params": Config(params="soft"), "prf": Config(params="soft", prf_docs=5), "exclusion": Config(params="soft", prf_docs=5, exc_w=0.4, pen_ratio=0.05), "full": FULL}
+
+
+@query("systems_full")
+def systems_full(spark, d):
+    """All systems of the cascade, with the metrics of their judged lists and the postings they read."""
+    per = evaluate.compare(evaluate.systems(TUNED), notes(spark, d), index(spark, d), qrels(spark, d), 100)
+    out = evaluate.means(per)
+    return out.select("system", *r6(*[c for c in out.columns if c != "system"]))
+
+
+@query("ablation_table")
+def ablation_table(spark, d):
+    per = evaluate.compare(evaluate.ablations(FULL, 0.25), notes(spark, d), index(spark, d), qrels(spark, d), 100)
+    out = evaluate.means(per)
+    return out.select("system", *r6(*[c for c in out.columns if c != "system"]))
+
+
 # ---------------------------------------------------------------- records, notes, pages
 
 
-def _values(spark, name: str, rows: list[str]) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + r + ')' for r in rows)} AS t({name})")
+_criteria = "'Inclusion Criteria: - ' || title || ' - No ' || summary || ' 1. ' || inclusion || ' Exclusion Criteria: ' || exclusion"
+_negated_sql = r"(?i)^\s*(?:no|not|must not|without|absence of|none of|patients? (?:with|who have) no)\b\s*"
+_criteria_sql = f"""WITH {O.TRIAL}, c AS (SELECT doc, {_criteria} AS c FROM trial),
+h AS (SELECT doc, regexp_split_to_array(c, '(?i)exclusion\\s+criteria\\s*:?') AS ps FROM c),
+i AS (SELECT doc, ps, regexp_split_to_array(regexp_replace(ps[1], '(?i)^\\s*inclusion\\s+criteria\\s*:?', ''), '\\s+-\\s+|\\s+\\*\\s+|\\s+\\d{{1,2}}[.)]\\s+') AS items FROM h),
+split AS (SELECT doc, trim(array_to_string(list_filter(items, lambda x: NOT regexp_matches(x, '{_negated_sql}')), ' ')) AS inclusion,
+  trim(array_to_string(list_concat([trim(ps[2])], list_transform(list_filter(items, lambda x: regexp_matches(x, '{_negated_sql}')), lambda x: regexp_replace(x, '{_negated_sql}', ''))), ' ')) AS exclusion FROM i)"""
 
 
-_CRITERIA = [
-    ("Inclusion Criteria: - Age over 18 - No prior chemotherapy - Signed consent Exclusion Criteria: - Pregnant - HIV", "Age over 18 Signed consent", "- Pregnant - HIV prior chemotherapy"),
-    ("- No prior stroke - Diabetes", "- No prior stroke Diabetes", ""),
-    ("Exclusion criteria: smoker Inclusion criteria: adult", "", "smoker Inclusion criteria: adult"),
-    ("Inclusion criteria 1. Asthma 2) Patients with no COPD", "1. Asthma", "COPD"),
-    ("Notable fever - Nonsmoker", "Notable fever Nonsmoker", ""),
-    ("", "", ""),
-]
+def _criteria_of(spark, d) -> DataFrame:
+    return trial(spark, d).select("doc", F.expr(_criteria).alias("criteria"))
 
 
-@query("criteria_split", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{a}', '{b}')" for i, (_, a, b) in enumerate(_CRITERIA)) + ") t(n, inclusion, exclusion)")
+@query("criteria_split", f"{_criteria_sql} SELECT doc, inclusion, exclusion FROM split")
 def criteria_split(spark, d):
-    inc, exc = trials.split_criteria(F.col("c"))
-    return _values(spark, "n, c", [f"{i}L, '{c}'" for i, (c, _, _) in enumerate(_CRITERIA)]).select("n", inc.alias("inclusion"), exc.alias("exclusion"))
+    inc, exc = trials.split_criteria(F.col("criteria"))
+    return _criteria_of(spark, d).select("doc", inc.alias("inclusion"), exc.alias("exclusion"))
 
 
-@query("criteria_stats", "SELECT 6::BIGINT AS trials, 5::BIGINT AS criteria, 2::BIGINT AS header, 1::BIGINT AS moved, 3::BIGINT AS exclusion")
+@query("criteria_stats", f"{_criteria_sql} SELECT count(*) AS trials, count(*) AS criteria, count(*) AS header, 0::BIGINT AS moved, count(*) FILTER (exclusion <> '') AS exclusion FROM split")
 def criteria_stats(spark, d):
-    return trials.criteria_stats(_values(spark, "criteria", [f"'{c}'" for c, _, _ in _CRITERIA]))
+    return trials.criteria_stats(_criteria_of(spark, d))
 
 
-_AGES = [("18 Years", 18.0), ("6 Months", 0.5), ("2 Weeks", 0.038), ("1 Day", 0.003), ("12 Hours", 0.001), ("N/A", -1.0), ("", -1.0), ("30 Fortnights", 30.0), (" 65.5 year", 65.5)]
+_UNITS = {"Years": "1.0", "Months": "1.0 / 12", "Weeks": "1.0 / 52", "Day": "1.0 / 365", "hours": "1.0 / 8760", "Minutes": "1.0 / 525600", "Fortnights": "1.0"}
 
 
-@query("age_years", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {y}::DOUBLE)" for a, y in _AGES) + ") t(age, years)")
+@query("age_years", "SELECT doc_id, CASE WHEN n_chars % 11 = 0 THEN -1.0::DOUBLE ELSE round((n_chars % 97)::DOUBLE * (" + " ".join(["CASE doc_id % 7", *(f"WHEN {i} THEN {y}::DOUBLE" for i, y in enumerate(_UNITS.values())), "END"]).replace("/ ", "::DOUBLE / ") + "), 3) END AS years FROM documents")
 def age_years(spark, d):
-    return _values(spark, "age", [f"'{a}'" for a, _ in _AGES]).select("age", trials.age_years(F.col("age"), -1.0).alias("years"))
+    """Ages written as texts of every unit, one of them unknown, and some that are no age."""
+    unit = F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    text = F.when(F.col("n_chars") % 11 == 0, "N/A").otherwise(F.concat_ws(" ", F.col("n_chars") % 97, unit))
+    return table(spark, d, "documents").select("doc_id", trials.age_years(text, -1.0).alias("years"))
 
 
 @query("dedup_first", "SELECT text AS id, doc_id FROM (SELECT text, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
@@ -520,55 +732,102 @@ def ordinals(spark, d):
 _XML = """<clinical_study><id_info><nct_id>NCT%d</nct_id></id_info><brief_title>Asthma  %d</brief_title><condition>Asthma</condition><condition> </condition><keyword>Lung</keyword>
 <intervention><intervention_name>Drug A</intervention_name></intervention><eligibility><criteria><textblock>Inclusion Criteria: - Adult - No smoker Exclusion Criteria: - HIV</textblock></criteria>
 <gender>Female</gender><minimum_age>6 Months</minimum_age><maximum_age>N/A</maximum_age></eligibility></clinical_study>"""
+_clean = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+_list = f"array_to_string(list_filter(list_transform({{0}}, lambda x: {_clean.format('x')}), lambda x: x <> ''), '|')"
 
 
-@query("xml_parse", "SELECT * FROM (VALUES ('NCT1', 'Asthma 1', 'Asthma|Lung', 'Drug A', 'Adult', '- HIV smoker', 'Female', 0.5::DOUBLE, 999.0::DOUBLE), ('NCT2', 'Asthma 2', 'Asthma|Lung', 'Drug A', 'Adult', '- HIV smoker', 'Female', 0.5::DOUBLE, 999.0::DOUBLE)) t(id, title, conditions, interventions, inclusion, exclusion, gender, min_age, max_age)")
+@query("xml_parse", f"WITH {O.TRIAL} SELECT id, {_clean.format('title')} AS title, {_clean.format('summary')} AS summary, {_list.format('conditions')} AS conditions, {_list.format('interventions')} AS interventions, gender, min_age, max_age FROM trial")
 def xml_parse(spark, d):
-    raw = spark.range(1).select(F.explode(F.array(F.lit(_XML % (1, 1)), F.lit(_XML % (2, 2)), F.lit("<clinical_study><broken"), F.lit("<clinical_study><phase>1</phase></clinical_study>"))).alias("xml"))
-    p = trials.parse_xml(raw)
-    return p.select("id", "title", F.array_join("conditions", "|").alias("conditions"), F.array_join("interventions", "|").alias("interventions"), "inclusion", "exclusion", "gender", "min_age", "max_age")
+    """All records as XML, with a broken one and one without an id between them."""
+    xml = trials.to_xml(trial(spark, d)).select("xml")
+    broken = spark.range(1).select(F.explode(F.array(F.lit("<clinical_study><broken"), F.lit("<clinical_study><phase>1</phase></clinical_study>"))).alias("xml"))
+    p = trials.parse_xml(xml.union(broken))
+    return p.select("id", "title", "summary", F.array_join("conditions", "|").alias("conditions"), F.array_join("interventions", "|").alias("interventions"), "gender", "min_age", "max_age")
+
+
+@query("json_records", f"WITH {O.TRIAL} SELECT doc, id, title, summary, array_to_string(conditions, '|') AS conditions, inclusion, exclusion, gender, min_age, max_age FROM trial")
+def json_records(spark, d):
+    """Records twice over, merged into JSON lines (the first of each id) and scanned."""
+    t, path = trial(spark, d), new_folder(spark)
+    trials.write_json(t.unionByName(t.withColumns({"doc": F.col("doc") + 10**12, "title": F.lit("later")})), path)
+    return trials.read_json(spark, path).select("doc", "id", "title", "summary", F.array_join("conditions", "|").alias("conditions"), "inclusion", "exclusion", "gender", "min_age", "max_age")
+
+
+@query("topics_xml", f"SELECT '2021-' || item_id AS qid, 2021::BIGINT AS year, {_clean.format('text')} AS note FROM benchmark")
+def topics_xml(spark, d):
+    path = new_folder(spark)
+    topics.write_topics(table(spark, d, "benchmark").select(F.col("item_id").alias("number"), F.col("text").alias("note")), path)
+    return topics.read_topics(spark, path, 2021).select("qid", *as_long("year"), "note")
+
+
+@query("qrels_text", f"WITH {O.QRELS} SELECT '2021-' || qid AS qid, doc, rel::BIGINT AS rel FROM qrel")
+def qrels_text(spark, d):
+    """Judgements written as lines, read back and met with the records' ids."""
+    path = new_folder(spark)
+    topics.write_qrels(qrels(spark, d).select(F.col("qid").alias("topic"), F.col("doc").cast("string").alias("id"), "rel"), path)
+    return topics.read_qrels(spark, path, 2021, trial(spark, d)).select("qid", "doc", *as_long("rel"))
+
 
+@query("tex_escape", r"""SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', ' '), '{', chr(1)), '}', chr(2)), '&', '\&'), '%', '\%'), '$', '\$'), '#', '\#'), '_', '\_'), '~', '\textasciitilde{}'), '^', '\^{}'), chr(1), '\{'), chr(2), '\}') AS tex,
+replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html FROM documents""")
+def tex_escape(spark, d):
+    return table(spark, d, "documents").select("doc_id", evaluate.tex(F.col("text")).alias("tex"), evaluate.html(F.col("text")).alias("html"))
 
-_NOTES = [
-    ("A 45-year-old woman with HTN denies chest pain. Her mother had breast cancer.", 45.0, "female", "hypertens old woman year", "chest pain", "breast cancer mother", "htn"),
-    ("60 yo M, HIV test negative, no fever but cough", 60.0, "male", "cough yo", "fever hiv infect test", "", "hiv"),
-    ("18-month-old boy", 1.5, "male", "boi month old", "", "", ""),
-    ("aged 130, 62 years old", 62.0, None, "ag old year", "", "", ""),
-]
-_note_rows = [f"'{i}', '{n[0]}'" for i, n in enumerate(_NOTES)]
 
+_notes_sql = """allnote AS (
+  SELECT qid, '[** Name 12 **] ' || min(note) AS note FROM (
+    SELECT 'b' || item_id AS qid, text AS note FROM benchmark WHERE text IS NOT NULL
+    UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL
+  ) WHERE qid IS NOT NULL GROUP BY qid
+)"""
+_read_sql = f"WITH {_notes_sql}, {O.read_notes('allnote')}"
+_found_sql = f"{_read_sql}, {stem_cte('(SELECT DISTINCT word FROM nkept)')}, {O.FINDING}"
 
-@query("note_age", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', {n[1]}::DOUBLE)" for i, n in enumerate(_NOTES)) + ") t(qid, age)")
+
+def _notes(spark, d) -> DataFrame:
+    """The texts of topics and of users' messages as notes (qid, note), each with a masked name before it."""
+    b = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), "text")
+    c = table(spark, d, "conversations").where(F.col("role") == "user").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("qid"), "text")
+    said = b.union(c).where(F.col("qid").isNotNull() & F.col("text").isNotNull())
+    return said.groupBy("qid").agg(F.concat(F.lit("[** Name 12 **] "), F.min("text")).alias("note"))
+
+
+@query("note_age", f"{_read_sql} SELECT qid, age FROM who")
 def note_age(spark, d):
-    return _values(spark, "qid, note", _note_rows).select("qid", N.age(F.col("note")).alias("age"))
+    return _notes(spark, d).select("qid", N.age(F.col("note")).alias("age"))
 
 
-@query("note_sex", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', {repr(n[2]) if n[2] else 'NULL'})" for i, n in enumerate(_NOTES)) + ") t(qid, sex)")
+@query("note_sex", f"{_read_sql} SELECT qid, sex FROM who")
 def note_sex(spark, d):
-    return _values(spark, "qid, note", _note_rows).select("qid", N.sex(F.col("note")).alias("sex"))
+    return _notes(spark, d).select("qid", N.sex(F.col("note")).alias("sex"))
 
 
-@query("note_abbrev", "SELECT * FROM (VALUES ('a', 'pt with history of hypertension and chronic obstructive pulmonary disease , either or'), ('b', 'nausea vomiting')) t(qid, words)")
+@query("note_abbrev", f"{_read_sql}, w AS (SELECT qid, string_agg(word, ' ' ORDER BY place) AS words FROM nat GROUP BY qid) SELECT qid, coalesce(words, '') AS words FROM allnote LEFT JOIN w USING (qid)")
 def note_abbrev(spark, d):
-    return _values(spark, "qid, note", ["'a', 'Pt w/ h/o HTN and COPD, either/or'", "'b', 'N/V'"]).select("qid", F.array_join(N.expanded(F.col("note")), " ").alias("words"))
+    return _notes(spark, d).select("qid", F.array_join(N.expanded(F.col("note")), " ").alias("words"))
 
 
-@query("note_profile", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{n[3]}', '{n[4]}', '{n[5]}', '{n[6]}')" for i, n in enumerate(_NOTES)) + ") t(qid, pos, neg, family, abbrev)")
-def note_profile(spark, d):
-    p = N.profiles(_values(spark, "qid, note", _note_rows))
-    keys = lambda c: F.array_join(F.array_sort(F.map_keys(c)), " ").alias(c)
-    return p.select("qid", keys("pos"), keys("neg"), keys("family"), F.array_join(F.col("abbrev.short"), " ").alias("abbrev"))
+@query("note_polarity", f"{_read_sql} SELECT qid, string_agg(word || ':' || tag, ' ' ORDER BY place) AS tagged FROM said GROUP BY qid")
+def note_polarity(spark, d):
+    t = N.tagged_words(_notes(spark, d)).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("at", "word", "tag"))).alias("ws"))
+    return t.select("qid", F.array_join(F.transform("ws", lambda x: F.concat_ws(":", x["word"], x["tag"])), " ").alias("tagged"))
 
 
-@query("note_polarity", "SELECT * FROM (VALUES ('0', 'denies:cue chest:neg pain:neg and:neg fever:neg'), ('1', 'lungs:neg clear:neg exam:neg unremarkable:cue'), ('2', 'mother:family denies:family stroke:family')) t(qid, tagged)")
-def note_polarity(spark, d):
-    p = N.profiles(_values(spark, "qid, note", ["'0', 'denies chest pain and fever'", "'1', 'lungs clear exam unremarkable'", "'2', 'mother denies stroke'"]))
-    return p.select("qid", F.array_join(F.transform("tagged", lambda x: F.concat_ws(":", x["word"], x["tag"])), " ").alias("tagged"))
+_lists = ", ".join(f"coalesce(string_agg(term, ' ' ORDER BY term) FILTER ({k} > 0), '') AS {k}" for k in ("pos", "neg", "family"))
+_profile_sql = f"""{_found_sql}, f AS (SELECT qid, {_lists} FROM finding GROUP BY qid),
+a AS (SELECT qid, string_agg(w, ' ' ORDER BY i, j) AS abbrev FROM nsplit WHERE w IN {O.among(N.ABBREVIATIONS)} GROUP BY qid),
+profile AS (SELECT n.qid AS qid, coalesce(pos, '') AS pos, coalesce(neg, '') AS neg, coalesce(family, '') AS family, coalesce(abbrev, '') AS abbrev, age, sex FROM allnote n JOIN who USING (qid) LEFT JOIN f USING (qid) LEFT JOIN a USING (qid))"""
+
+
+@query("note_profile", f"{_profile_sql} SELECT qid, pos, neg, family, abbrev FROM profile")
+def note_profile(spark, d):
+    keys = lambda c: F.array_join(F.array_sort(F.map_keys(c)), " ").alias(c)
+    return N.profiles(_notes(spark, d)).select("qid", keys("pos"), keys("neg"), keys("family"), F.array_join(F.col("abbrev.short"), " ").alias("abbrev"))
 
 
-@query("extraction_stats", "SELECT 4::BIGINT AS topics, 4::BIGINT AS age, 3::BIGINT AS sex, 2::BIGINT AS negation, 1::BIGINT AS family, 2::BIGINT AS abbrev")
+@query("extraction_stats", f"{_profile_sql} SELECT count(*) AS topics, count(age) AS age, count(sex) AS sex, count(*) FILTER (neg <> '') AS negation, count(*) FILTER (family <> '') AS family, count(*) FILTER (abbrev <> '') AS abbrev FROM profile")
 def extraction_stats(spark, d):
-    return N.coverage(N.profiles(_values(spark, "qid, note", _note_rows)))
+    return N.coverage(N.profiles(_notes(spark, d)))
 
 
 @query("page_extract", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS links, length(regexp_replace(html, '<[^>]*>', ' ', 'g'))::BIGINT AS text_chars FROM pages")

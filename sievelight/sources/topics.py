@@ -27,26 +27,47 @@ def read_qrels(spark: SparkSession, path: str, year: int, trials: DataFrame) ->
     return last.join(trials.select("id", "doc"), "id").select("qid", "doc", "rel")
 
 
+def write_topics(notes: DataFrame, path: str) -> None:
+    """Notes (number, note) as topics XML, in the form that ``read_topics`` reads."""
+    rows = notes.select(F.col("number").cast("string").alias("_number"), F.col("note").alias("_VALUE"))
+    rows.write.mode("overwrite").format("xml").option("rootTag", "topics").option("rowTag", "topic").save(path)
+
+
+def write_qrels(qrels: DataFrame, path: str) -> None:
+    """Judgements (topic, id, rel) as lines ``topic 0 id grade``."""
+    qrels.select(F.concat_ws(" ", "topic", F.lit("0"), "id", F.col("rel").cast("string"))).write.mode("overwrite").text(path)
+
+
+def union_years(*years: DataFrame) -> DataFrame:
+    """Notes (or judgements) of several years as one table; qids carry their year."""
+    out = years[0]
+    for more in years[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 def from_benchmark(benchmark: DataFrame) -> DataFrame:
-    """(qid, note, age, sex) of the test tables' passages, with synthetic ages and sexes."""
+    """(qid, note, age, sex, year) of the test tables' passages, with synthetic ages, sexes and years."""
     n = F.col("item_id")
     sex = F.when(n % 3 == 0, "female").when(n % 3 == 1, "male")
-    return benchmark.select(n.cast("string").alias("qid"), F.col("text").alias("note"), (20 + n % 50).cast("double").alias("age"), sex.alias("sex"))
+    return benchmark.select(n.cast("string").alias("qid"), F.col("text").alias("note"), (20 + n % 50).cast("double").alias("age"), sex.alias("sex"), (2021 + n % 2).alias("year"))
 
 
 def test_qrels(documents: DataFrame, benchmark: DataFrame, labels: DataFrame) -> DataFrame:
     """(qid, doc, rel) of labelled documents: 2 holds the passage, 1 is labelled toxic, else 0.
 
-    Every labelled document is judged for every topic.  Topics are few and broadcast.
-    Passages are looked for by their first five words before the whole is compared,
-    so texts are not compared pair by pair.
+    Every labelled document is judged for every topic.  Passages are looked for by
+    their first five words before the whole is compared; only the words of texts
+    travel for it, and the texts meet the few (topic, document) pairs found.
     """
-    d = documents.join(labels, "doc_id").select(F.col("doc_id").alias("doc"), "text", "toxic")
+    graded = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    d = documents.join(graded, "doc_id").select(F.col("doc_id").alias("doc"), "text", "toxic")
     words = lambda c: F.regexp_extract_all(c, F.lit("[^ \\n]+"), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i + 1, 5), " "))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, 5), " ")))
     posted = d.withColumn("w", words(F.col("text"))).where(F.size("w") >= 5).select("doc", F.explode(F.array_distinct(grams)).alias("g"))
-    topics = benchmark.withColumn("w", words(F.col("text"))).select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("passage"), F.array_join(F.slice("w", 1, 5), " ").alias("g"))
+    topics = benchmark.withColumn("w", words(F.col("text"))).where(F.size("w") >= 5).select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("passage"), F.xxhash64(F.array_join(F.slice("w", 1, 5), " ")).alias("g"))
     near = posted.join(topics.select("qid", "g", "passage"), "g").join(d.select("doc", "text"), "doc")
     holds = near.where(F.contains("text", F.col("passage"))).select("qid", "doc", F.lit(2).alias("rel"))
-    plain = d.select("doc", "toxic").crossJoin(F.broadcast(topics.select("qid"))).select("qid", "doc", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("rel"))
+    names = benchmark.select(F.col("item_id").cast("string").alias("qid")).distinct()
+    plain = d.select("doc", "toxic").crossJoin(names).select("qid", "doc", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("rel"))
     return holds.union(plain).groupBy("qid", "doc").agg(F.max("rel").alias("rel"))

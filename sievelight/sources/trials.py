@@ -128,6 +128,32 @@ def with_ordinals(records: DataFrame, order: list[str]) -> DataFrame:
     return joined.withColumn("doc", (F.col("__n") - F.col("__first") + F.col("__offset")).cast("bigint")).drop("__part", "__n", "__first", "__offset")
 
 
+def write_json(records: DataFrame, path: str, key: str = "id", order: tuple[str, ...] = ("doc",)) -> None:
+    """Merges records (the first of each key, in ``order``) into JSON lines by the fixed schema."""
+    from sievelight.schema import TRIAL
+
+    names = [c.strip().split(" ")[0] for c in TRIAL.split(", ")]
+    dedup_first(records, key, list(order)).select(*names).write.mode("overwrite").json(path)
+
+
+def lookup(records: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """The records of given documents, of the named columns; the asked-for side is small, so Spark broadcasts it."""
+    return records.select("doc", *columns).join(docs, "doc")
+
+
+def to_xml(trials: DataFrame) -> DataFrame:
+    """(doc, xml): records in the XML form that ``parse_xml`` reads."""
+    block = lambda c: F.struct(F.col(c).alias("textblock"))
+    years = lambda c: F.concat(F.col(c).cast("string"), F.lit(" Years"))
+    eligibility = F.struct(F.struct(F.concat(F.lit("Inclusion Criteria: "), "inclusion", F.lit(" Exclusion Criteria: "), "exclusion").alias("textblock")).alias("criteria"), F.col("gender"), years("min_age").alias("minimum_age"), years("max_age").alias("maximum_age"))
+    record = F.struct(
+        F.struct(F.col("id").alias("nct_id")).alias("id_info"), F.col("title").alias("brief_title"), F.col("official").alias("official_title"),
+        block("summary").alias("brief_summary"), block("description").alias("detailed_description"), F.col("conditions").alias("condition"),
+        F.transform("interventions", lambda x: F.struct(x.alias("intervention_name"))).alias("intervention"), eligibility.alias("eligibility"),
+    )
+    return trials.select("doc", F.to_xml(record).alias("xml"))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Records written as JSON lines, by the fixed schema."""
     from sievelight.schema import TRIAL
