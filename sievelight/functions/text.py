@@ -56,6 +56,17 @@ def fold_word(text: str) -> str:
     return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
 
 
+def _any_of(chars: list[str]) -> str:
+    """A regular expression's class of characters, in ranges: a long list of single ones is slow to test."""
+    codes, spans = sorted(map(ord, chars)), []
+    for c in codes:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]"
+
+
 def fold(text: Column) -> Column:
     """Compatibility decomposition, without what is not ASCII then, in lower case.
 
@@ -63,13 +74,14 @@ def fold(text: Column) -> Column:
     are replaced one by one where they are common; texts that hold a rare one (squared
     units and the like) are mapped character by character.
     """
-    holds = lambda chars: text.rlike("[" + "".join(chars) + "]")
+    holds = lambda chars: text.rlike(_any_of(chars))
     spread = text
     for c in COMMON:
         spread = F.replace(spread, F.lit(c), F.lit(SEVERAL[c]))
     becomes = F.create_map(*[F.lit(x) for c in SEVERAL for x in (c, SEVERAL[c])])
     each = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(becomes, c), c))
-    wide = F.when(holds(RARE), F.array_join(each, "")).when(holds(COMMON), spread).otherwise(text)
+    # only texts with a character beyond the letters of European languages are tested any further
+    wide = F.when(~text.rlike(f"[{chr(0xA8)}-{chr(0xBE)}{chr(0x130)}-{chr(0x10FFFF)}]"), text).when(holds(RARE), F.array_join(each, "")).when(holds(COMMON), spread).otherwise(text)
     ascii_only = ~text.rlike("[^\\x00-\\x7F]")
     return F.lower(F.when(ascii_only, text).otherwise(F.regexp_replace(F.translate(wide, ONE, TO_ONE), "[^\\x00-\\x7F]", "")))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sievelight.operators.index import Index
 from sievelight.schema import CHAMPIONS, CONDITIONS, EXCLUSION, INCLUSION, TFS, ZLENS, Config
+from sievelight.session import new_folder, save
 
 
 def qweight(qtf: Column, cfg: Config) -> Column:
@@ -179,7 +180,8 @@ def candidates(qterms: DataFrame, patients: DataFrame, ix: Index, cfg: Config, n
     """
     kept = select_terms(qterms, ix, cfg).where("kept").drop("kept", "term_rank")
     out = scores(kept, negated, ix, cfg)
-    if cfg.prf_docs:
+    if cfg.prf_docs:  # the first pass is read twice, so it is stored
+        out = save(out, new_folder(ix.trial.sparkSession))
         more = resolve(feedback(out.select("qid", "doc", "score"), patients, kept, ix, cfg), ix)
         more = lexical(more, ix, cfg).withColumns({"exc": F.lit(0.0), "neg": F.lit(0.0)})
         out = out.unionByName(more).groupBy("qid", "doc").agg(*[F.sum(c).alias(c) for c in ("score", "exc", "neg")])
@@ -219,7 +221,7 @@ def read(notes: DataFrame, ix: Index, cfg: Config) -> tuple[DataFrame, DataFrame
 
 def search_notes(notes: DataFrame, ix: Index, cfg: Config) -> DataFrame:
     """The best k records of each note (qid, note), which is read first; with ``neural`` the best are re-ranked."""
-    terms, negated, patients = read(notes, ix, cfg)
+    terms, negated, patients = (save(part, new_folder(ix.trial.sparkSession)) for part in read(notes, ix, cfg))  # notes are few, and their plan is long
     found = candidates(terms, patients, ix, cfg, negated)
     if cfg.neural:
         from sievelight.operators.rerank import rerank

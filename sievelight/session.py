@@ -30,9 +30,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests, one machine) a temporary folder, which is then set."""
+    """``spark.checkpoint.dir`` of the session; where it is unset on one machine (tests) a temporary folder, which is then set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         folder = tempfile.mkdtemp(prefix="sievelight-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
