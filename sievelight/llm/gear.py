@@ -4,7 +4,8 @@ A gear rolling hash over the last 32 bytes cuts a text wherever its top bits are
 zero, so cuts depend on the content nearby and come back after an insertion.
 Chunks are compared by a 128-bit digest over all texts; a chunk that occurred
 before, in order of (id, text hash, position), is a repeat, and runs of
-neighbouring repeats of ``min_run`` bytes or more are removed.
+neighbouring repeats of ``min_run`` bytes or more are removed, and so is a shorter run
+that is the whole text (an exact copy of a short text).
 
 The first pass sends a row a chunk to be counted; the second cuts the texts again
 and sends on only what a fixed-size filter of the repeated digests lets through
@@ -117,7 +118,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, c: Chunking, keep: np.n
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 100, chunking: Chunking = Chunking()) -> DataFrame:
-    """(id, t, spans): byte spans to remove of the rows that have any; ``t`` is the hash of the text."""
+    """(id, t, spans): runs of repeated chunks of the rows that have one of ``min_run`` bytes or that might be repeated as a whole; ``t`` is the hash of the text."""
     scratch = Scratch(docs.sparkSession)
     place = F.struct("id", "t", "start")
     counted = _chunks(docs, id_col, text_col, chunking).groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -134,7 +135,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), s["stop"].alias("stop")))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return spans.select("id", "t", F.filter(merged, lambda s: s["stop"] - s["start"] >= min_run).alias("spans")).where(F.size("spans") > 0)
+    spans = spans.select("id", "t", merged.alias("spans"))
+    whole = (F.size("spans") == 1) & (F.col("spans")[0]["start"] == 0)
+    return spans.where(whole | F.exists("spans", lambda s: s["stop"] - s["start"] >= min_run))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 100, chunking: Chunking = Chunking(), with_text: bool = True) -> DataFrame:
@@ -152,6 +155,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
     rows = docs.select(id_col, text_col).mapInArrow(sizes, f"id {kind}, t bigint, n_bytes bigint, n_chunks bigint" + ", text string" * with_text)
     found = found.select(F.col("id").alias("fid"), F.col("t").alias("ft"), "spans")
     out = rows.join(found, F.col("id").eqNullSafe(F.col("fid")) & (F.col("t") == F.col("ft")), "left")
+    taken = F.filter("spans", lambda s: (s["stop"] - s["start"] >= min_run) | ((s["start"] == 0) & (s["stop"] == F.col("n_bytes"))))
+    out = out.withColumn("spans", taken)
     removed = F.aggregate(F.coalesce("spans", F.array().cast(span)), F.lit(0).cast("bigint"), lambda x, s: x + s["stop"] - s["start"])
     out = out.select(F.col("id").alias(id_col), "n_bytes", "n_chunks", removed.alias("removed_bytes"), F.coalesce("spans", F.array().cast(span)).alias("spans"), *(["text"] if with_text else []))
     if not with_text:
