@@ -127,7 +127,7 @@ def op8_gear(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIXTURE = {
     "source": {f"src{i}": 0.05 for i in range(20)},
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
-    "topic": {"t0": 0.44, "t1": 0.14, "t2": 0.11, "t3": 0.09, "t4": 0.07, "t5": 0.06, "t6": 0.05, "t7": 0.04},
+    "topic": {"t0": 0.66, "t1": 0.10, "t2": 0.07, "t3": 0.05, "t4": 0.04, "t5": 0.03, "t6": 0.03, "t7": 0.02},
 }
 #: Share of all words that the sample is to have.
 SAMPLE_SHARE = 0.5
