@@ -589,3 +589,38 @@ def test_compression_agrees_with_brute_force(spark, docs, texts):
     long = spark.createDataFrame([(1, LONG * 20), (2, LONG * 20), (None, None)], "doc_id bigint, text string")
     rows = {r.doc_id: r.score for r in compress.score(long, model).collect()}
     assert rows[1] == rows[2] and 0 < rows[1] < 1 and len(rows) == 3
+
+
+def test_pipeline_agrees_with_brute_force(spark, small, texts):
+    """Every stage's rows from those of the one before, reckoned in plain Python."""
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    held = {}
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, small).cache()
+        held[name] = {r.doc_id: r for r in docs.collect()}
+    source = spark.read.parquet(f"{small}/documents.parquet")
+    judged = crf.judge(source, crf.fit(source, spark.read.parquet(f"{small}/labels.parquet")))
+    now = {r.doc_id: texts[r.doc_id] for r in judged.where("kept").collect()}
+    assert set(held["quality_rules"]) == set(now)
+    deduped = {i: t for i, (t, _, gone) in brute_lines(now).items() if not gone or t.strip()}
+    assert {i: r.text for i, r in held["line_dedup"].items()} == deduped and all(r.n_chars == len(r.text) for r in held["line_dedup"].values())
+    groups = brute_components(deduped)
+    now = {i: t for i, t in deduped.items() if groups[i][1] == i}
+    assert {i: r.text for i, r in held["near_duplicates"].items()} == now
+    before = source.where(F.col("doc_id").isin(list(now))).drop("text", "n_chars").join(spark.createDataFrame(list(now.items()), "doc_id bigint, text string"), "doc_id")
+    rows = mix.sample(before, queries.MIXTURE, queries.SAMPLE_SHARE).collect()
+    cells = collections.Counter()
+    place = lambda r: tuple(v if v in queries.MIXTURE[c] else mix.OTHER for c, v in (("source", r.source), ("lang", r.lang), ("topic", r.topic)))
+    for r in rows:
+        cells[place(r)] += max(r.words, 1)
+    p = brute_rake(cells, list(queries.MIXTURE.values()), queries.SAMPLE_SHARE)
+    draws = {r.doc_id: r.d for r in spark.createDataFrame([(i,) for i in now], "doc_id bigint").select("doc_id", (F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 11) / F.lit(float(1 << 53))).alias("d")).collect()}
+    assert set(held["mixing"]) == {r.doc_id for r in rows if draws[r.doc_id] < p[place(r)]}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(queries.tokenizer_file()), special_tokens={})
+    assert {i: r.n_tokens for i, r in held["tokenize"].items()} == {i: len(enc.encode_ordinary(now[i])) for i in held["mixing"]}
+    assert {r.doc_id: r.ids_sha256 for r in P.run(spark, small).collect()} == {i: r.ids_sha256 for i, r in held["tokenize"].items()}
