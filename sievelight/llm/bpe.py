@@ -4,8 +4,8 @@ Each Spark partition opens its own in-process DuckDB database.  The pieces of a
 text (matches of the pre-tokenizer pattern) become token-position rows, one row
 a byte.  A recursive query joins neighbouring rows with the merge table and
 contracts, in every piece, the leftmost pair of the lowest rank until no pair is
-left.  Decoding joins ids with the vocabulary and concatenates by an ordered
-aggregation.
+left.  Decoding joins the ids of a slice of texts, with an end mark after each text,
+with the vocabulary and concatenates them by an ordered aggregation.
 
 The recursion is keyed by position, so a round replaces rows instead of adding
 some, and memory is that of the rows at the start.  Long pieces contract in
@@ -38,9 +38,9 @@ from sievelight.llm.hashing import batches
 #: Bytes of pieces contracted by one recursive query (a longer piece has one of its
 #: own), pieces remembered between slices (in each of two generations), and bytes of text
 #: handled at once: they bound a worker's memory.
-CHUNK_BYTES = 160_000
+CHUNK_BYTES = 80_000
 CACHE_PIECES = 400_000
-SLICE_BYTES = 600_000
+SLICE_BYTES = 1_500_000
 #: Memory of the database: a base, and what a byte of the chunk takes on top.
 BASE_MB, BYTES_A_ROW = 160, 600
 
@@ -71,10 +71,12 @@ WITH RECURSIVE state(k, tok) USING KEY (k) AS (
 SELECT k, tok FROM state WHERE tok >= 0 ORDER BY k
 """
 
+#: The database has one thread, so the aggregate meets the rows in their order.
 DECODE = """
-SELECT d, string_agg(v.chars, '' ORDER BY i) AS chars
-FROM ids JOIN vocabulary v ON v.id = ids.id GROUP BY d ORDER BY d
+SELECT string_agg(chars, '') AS chars FROM (SELECT v.chars FROM ids JOIN vocabulary v ON v.id = ids.id ORDER BY i)
 """
+#: Id and character of the end of a text in decoding; bytes are the characters U+0000 to U+00FF.
+END_ID, END_CHAR = -1, "\u0100"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -129,9 +131,9 @@ class Bpe:
         self.memory(0)
         self.con.register("m", pa.table({"pair": pairs, "merged": merged}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
-        # one character of two UTF-16 bytes a byte, so that any bytes are valid text
-        chars = ["".join(chr(0x100 + b) for b in token) for token in ranks]
-        self.con.register("v", pa.table({"id": list(ranks.values()), "chars": chars}))
+        # one character a byte, so that any bytes are valid text
+        chars = [token.decode("latin-1") for token in ranks]
+        self.con.register("v", pa.table({"id": [*ranks.values(), END_ID], "chars": [*chars, END_CHAR]}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, chars FROM v")
         self.con.unregister("m")
         self.con.unregister("v")
@@ -194,16 +196,11 @@ class Bpe:
         """Bytes of each list of decimal ids."""
         if not any(texts):
             return [b""] * len(texts)
-        n = np.array([t.count(",") + 1 if t else 0 for t in texts])
-        flat = np.fromstring(",".join(t for t in texts if t), dtype=np.int32, sep=",")
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), n)
-        self.con.register("ids", pa.table({"d": doc, "i": np.arange(len(flat), dtype=np.int32), "id": flat}))
-        d, chars = (c.to_pylist() for c in self.con.sql(DECODE).to_arrow_table().columns)
+        flat = np.fromstring(",".join(f"{t},{END_ID}" if t else str(END_ID) for t in texts), dtype=np.int32, sep=",")
+        self.con.register("ids", pa.table({"i": np.arange(len(flat), dtype=np.int32), "id": flat}))
+        ((chars,),) = self.con.execute(DECODE).fetchall()
         self.con.unregister("ids")
-        out = [b""] * len(texts)
-        for i, c in zip(d, chars, strict=True):
-            out[i] = c.encode("utf-16-le")[::2]
-        return out
+        return [c.encode("latin-1") for c in chars.split(END_CHAR)[:-1]]
 
 
 #: The encoder of this worker process, and what it was made for; tasks that follow each other share it.
