@@ -27,7 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.llm import bloom
@@ -39,9 +40,9 @@ SLICE_BYTES = 500_000
 #: Counters of the sketch (16 MB).
 SKETCH = 1 << 22
 SKETCH_BLOCKS = 64
-#: Classes of one tile, and n-grams of the classes that one exact task holds.
-TILE = 4096
-EXACT_GRAMS = 12_000_000
+#: Classes of a band (a tile has two at most), and n-grams of the classes of a band in exact tasks.
+TILE = 2048
+EXACT_GRAMS = 6_000_000
 
 
 @dataclass(frozen=True)
@@ -204,10 +205,8 @@ def _sketch(members: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _postings(docs: DataFrame, text_col: str, n: int, t: Threshold, sketch: np.ndarray) -> DataFrame:
-    """(gram, class, size, index) of the rarest n-grams of each class, once a task."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)
+def _postings(docs: DataFrame, text_col: str, n: int, t: Threshold, shared: Broadcast, only: Broadcast | None = None) -> DataFrame:
+    """(gram, class, size, index) of the rarest n-grams of each class, once a task; of those that a filter lets through, if given."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
@@ -220,8 +219,12 @@ def _postings(docs: DataFrame, text_col: str, n: int, t: Threshold, sketch: np.n
                 if len(seen) < 500_000:
                     seen.add(d)
                 order = np.lexsort((s, counts[(s & U(SKETCH - 1)).astype(np.int64)]))[: t.probe(len(s))]
+                first = np.arange(len(order)) < t.index(len(s))
+                if only is not None:
+                    passed = bloom.contains(only.value, s[order].astype(np.int64))
+                    order, first = order[passed], first[passed]
                 gram.append(s[order].astype(np.int64))
-                index.append(np.arange(len(order)) < t.index(len(s)))
+                index.append(first)
                 cls.append(np.full(len(order), d, dtype=np.int64))
                 size.append(np.full(len(order), len(s), dtype=np.int32))
             if gram:
@@ -230,23 +233,30 @@ def _postings(docs: DataFrame, text_col: str, n: int, t: Threshold, sketch: np.n
     return docs.select(text_col).mapInArrow(run, "gram bigint, class bigint, size int, index boolean")
 
 
-def _partnered(postings: DataFrame, t: Threshold) -> DataFrame:
+def _common(postings: DataFrame) -> DataFrame:
+    """The n-grams that different classes post, one of them in its index prefix; tasks aggregate before the one shuffle of all postings."""
+    ends = postings.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("index").alias("index"))
+    return ends.where((F.col("lo") != F.col("hi")) & F.col("index")).select("gram")
+
+
+def _partnered(postings: DataFrame, t: Threshold, scratch: Scratch) -> DataFrame:
     """The postings, once a class, that some other class of the n-gram could be linked through: one whose size allows it, the smaller of the two having the n-gram in its index prefix.
 
-    All windows share one shuffle and sort.
+    What the classes of an n-gram have in common is kept by size, so the window
+    holds sizes and no classes, however many post the n-gram.
     """
-    w = Window.partitionBy("gram").orderBy("size", "class")
-    once = postings.withColumn("before", F.lag("class").over(w)).where(F.col("before").isNull() | (F.col("before") != F.col("class")))
-    smaller = F.max(F.when(F.col("index"), F.col("size"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    larger = F.lead("size").over(w)
-    rows = once.select("gram", "class", "size", "index", smaller.alias("smaller"), larger.alias("larger"))
-    fits = (F.col("smaller") * 100 >= F.col("size") * t.percent) | (F.col("index") & (F.col("size") * 100 >= F.col("larger") * t.percent))
-    rows = rows.where(fits).select("gram", "class", "size")
+    by_size = postings.groupBy("gram", "size").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("index").alias("indexed"))
+    w = Window.partitionBy("gram").orderBy("size")
+    smaller = F.max(F.when(F.col("indexed"), F.col("size"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    sizes = by_size.select("gram", "size", ((F.col("lo") != F.col("hi")) & F.col("indexed")).alias("several"), smaller.alias("smaller"), F.lead("size").over(w).alias("larger"))
+    below = F.coalesce(F.col("smaller") * 100 >= F.col("size") * t.percent, F.lit(False)) | F.col("several")
+    above = F.coalesce(F.col("size") * 100 >= F.col("larger") * t.percent, F.lit(False))
+    sizes = sizes.select("gram", "size", below.alias("below"), above.alias("above")).where("below OR above")
+    rows = scratch.save(postings.join(sizes, ["gram", "size"]).where("below OR (above AND index)").select("gram", "class", "size").distinct())
     # N-grams with the same classes make the same tile, which is looked at once: its
     # key is a digest of its members (two tiles under one key would only be joined).
-    members = Window.partitionBy("gram")
-    key = F.xxhash64(F.count(F.lit(1)).over(members), F.bit_xor(F.xxhash64("class")).over(members), F.bit_xor(F.xxhash64(F.lit(1), "class")).over(members))
-    return rows.select(key.alias("gram"), "class", "size").distinct()
+    digests = rows.groupBy("gram").agg(F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("class")), F.bit_xor(F.xxhash64(F.lit(1), "class"))).alias("key"))
+    return rows.join(digests, "gram").select(F.col("key").alias("gram"), "class", "size").distinct()
 
 
 def _sets(docs: DataFrame, text_col: str, n: int, classes: DataFrame) -> DataFrame:
@@ -272,16 +282,23 @@ def _sets(docs: DataFrame, text_col: str, n: int, classes: DataFrame) -> DataFra
     return docs.select(text_col).mapInArrow(run, "class bigint, size int, map binary, grams binary")
 
 
-def _tiles(rows: DataFrame, key: str, most: int, t: Threshold, by: str = "tile_rank") -> DataFrame:
-    """Deals the sorted rows of each key into tiles of at most two bands, so that every two rows of a key whose sizes allow a link meet in one.
+def _tiles(rows: DataFrame, key: str, most: int, t: Threshold, weight: Column) -> DataFrame:
+    """Deals the rows of each key into tiles of at most two bands, so that every two rows of a key whose sizes allow a link meet in one.
 
-    A key of one band is one tile.  A larger one is cut into bands of ``most``;
-    each band meets itself and the later bands whose smallest set is not too large.
+    A key of no more than ``most`` weight is one tile.  A larger one is cut into
+    bands of about as much (twice that at most, but for chance), by size and, where
+    one size is too many, by a hash of the class; each band meets itself and the later
+    bands whose smallest set is not too large.  Bands are cut from the weights by size,
+    so no task holds the rows of a key.
     """
-    banded = rows.withColumn("band", F.floor((F.col(by) - 1) / most).cast("int"))
-    spans = banded.groupBy(key, "band").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    large = spans.where("band > 0").select(key).distinct()
-    spans = spans.join(large, key, "left_semi")
+    by_size = rows.groupBy(key, "size").agg(F.sum(weight).alias("weight"))
+    large = by_size.groupBy(key).agg(F.sum("weight").alias("total")).where(F.col("total") > most).select(key)
+    upto = F.sum("weight").over(Window.partitionBy(key).orderBy("size"))
+    cuts = by_size.join(large, key, "left_semi").withColumn("upto", upto)
+    cuts = cuts.select(key, "size", F.floor((F.col("upto") - F.col("weight")) / most).cast("int").alias("start"), F.floor(F.col("upto") / most).cast("int").alias("stop"))
+    part = F.col("start") + F.pmod(F.xxhash64("class"), F.col("stop") - F.col("start") + 1)
+    banded = rows.join(cuts, [key, "size"], "left").withColumn("band", F.coalesce(part, F.lit(0)).cast("int")).select(*rows.columns, "band")
+    spans = cuts.select(key, "size", F.explode(F.sequence("start", "stop")).alias("band")).groupBy(key, "band").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     left, right = spans.select(key, F.col("band").alias("x"), F.col("hi").alias("hi_x")), spans.select(key, F.col("band").alias("y"), F.col("lo").alias("lo_y"))
     pairs = left.join(right, key).where((F.col("x") < F.col("y")) & (F.col("lo_y") * t.percent <= F.col("hi_x") * 100))
     more = pairs.select(key, "x", "y", F.explode(F.array("x", "y")).alias("band"))
@@ -359,20 +376,21 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     """(id, t, size, class, least) of every row; ``t`` is the hash of the text and ``least`` the smallest (id, t) of the row's group."""
     t = Threshold(percent)
     members = _members(docs, id_col, text_col, words, scratch)
-    postings = _postings(docs, text_col, words, t, _sketch(members))
-    shared = scratch.save(_partnered(postings, t))
+    spread = docs.sparkSession.sparkContext.broadcast
+    sketch = spread(_sketch(members))
+    common = scratch.save(_common(_postings(docs, text_col, words, t, sketch)))
+    postings = scratch.save(_postings(docs, text_col, words, t, sketch, spread(bloom.build(common))))
+    shared = scratch.save(_partnered(postings, t, scratch))
     wanted = scratch.save(shared.select("class").distinct())
     sets = scratch.save(_sets(docs, text_col, words, wanted))
     maps = sets.select("class", "map").dropDuplicates(["class"])
-    rank = Window.partitionBy("gram").orderBy("size", "class")
-    tiles = _tiles(shared.withColumn("tile_rank", F.row_number().over(rank)), "gram", TILE, t)
+    tiles = _tiles(shared, "gram", TILE, t, F.lit(1))
     candidates = scratch.save(_forests(tiles.join(maps, "class").withColumn("none", F.lit(None).cast("binary")), "gram", t, False, "none").distinct())
     clusters = components(candidates, scratch)
     # the bands of exact tasks are cut by the n-grams they hold
-    weigh = Window.partitionBy("root").orderBy("size", "class").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sets.select("class", "size").dropDuplicates(["class"])
-    light = clusters.select(F.col("node").alias("class"), "root").join(sizes, "class").withColumn("tile_rank", F.sum("size").over(weigh))
-    exact = _tiles(light, "root", EXACT_GRAMS, t).join(sets.select("class", "map", "grams"), "class")
+    light = clusters.select(F.col("node").alias("class"), "root").join(sizes, "class").select("root", "class", "size")
+    exact = _tiles(light, "root", EXACT_GRAMS, t, F.col("size")).join(sets.select("class", "map", "grams"), "class")
     links = _forests(exact, "root", t, True, "grams")
     roots = scratch.save(components(links, scratch).select(F.col("node").alias("class"), "root"))
     rows = members.where("kind = 0")
