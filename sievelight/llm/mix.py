@@ -13,9 +13,12 @@ shares divide the rest.  Null categories count as not named.  Null and empty tex
 weigh one word.  Rows with equal ids share their draw; a null id is an id.
 
 Topics are clusters: spherical k-means of ``TOPICS`` centres over hashed words of
-``LONG_WORD`` bytes or more, weighted by tf-idf, fitted on at most ``TOPIC_SAMPLE``
-different texts (those of the smallest hashes) and numbered from the largest.  Every
-text is assigned by its own whole content; one without such words has topic 0.
+``LONG_WORD`` bytes or more, weighted by tf-idf, fitted on all rows (copies count as
+often as they stand) and numbered from the largest.  The rows' counts of such words are
+stored once, then their unit vectors; each round is a pass over these.  Vectors and
+centres are whole numbers of parts of one, so sums and products are exact and neither
+order nor partitions matter.  Every text is assigned by its own whole content; one
+without such words has topic 0.
 
 The columns that ``sample`` adds replace those of the same name; ``keep`` returns the
 columns of its input whatever their names.
@@ -23,7 +26,7 @@ columns of its input whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,16 +34,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm import sampling
-from sievelight.llm.hashing import Words, batches
+from sievelight.llm.hashing import U, Words, batches
+from sievelight.llm.hashing import mix as scramble
 from sievelight.llm.scratch import Scratch, unused
 
 SLICE_BYTES = 2_000_000
 OTHER = "*"
 TOPICS = 8
 LONG_WORD = 6
-TOPIC_SAMPLE = 2000
 TOPIC_SLOTS = 1024
+#: Texts drawn for each first centre, of which the best is taken.
+DRAWS = 4
+#: Parts of one that vectors are counted in: products of two of length one stay below 2**53, so doubles hold them.
+ONE = 1 << 26
+#: Rows that are laid out by slot at once.
+ROWS = 256
 #: No cell is drawn with less than this part of the whole share, so weights stay bounded where targets cannot be met.
 FLOOR = 0.001
 
@@ -52,14 +60,25 @@ class Fit:
     rounds: int
 
 
-def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text; text, slot and weight 1 + ln(count) of each of its long words)."""
+def counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text; text, slot and count of each of its long words)."""
     w = Words(texts, lower=True)
     long = np.flatnonzero(w.ends - w.starts >= LONG_WORD)
     of = np.repeat(np.arange(len(texts)), w.counts)[long]
     slot = (w.hashes()[long] >> np.uint64(40)).astype(np.int64) % TOPIC_SLOTS
     key, count = np.unique(of * TOPIC_SLOTS + slot, return_counts=True)
-    return w.counts, key // TOPIC_SLOTS, key % TOPIC_SLOTS, 1 + np.log(count)
+    return w.counts, key // TOPIC_SLOTS, key % TOPIC_SLOTS, count
+
+
+def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text; text, slot and weight 1 + ln(count) of each of its long words)."""
+    n_words, of, slot, count = counts(texts)
+    return n_words, of, slot, 1 + np.log(count)
+
+
+def products(n: int, of: np.ndarray, slot: np.ndarray, weight: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Product of each of ``n`` texts with each centre."""
+    return np.stack([np.bincount(of, weights=weight * c[slot], minlength=n) for c in centres], axis=1)
 
 
 @dataclass(frozen=True)
@@ -72,42 +91,232 @@ class Topics:
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(words, topic) of each text; of equally near centres the first."""
         n_words, of, slot, weight = terms(texts)
-        weight = weight * self.idf[slot]
-        near = np.stack([np.bincount(of, weights=weight * c[slot], minlength=len(texts)) for c in self.centres], axis=1)
-        return n_words, near.argmax(axis=1)
-
-
-def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, most: int = TOPIC_SAMPLE, rounds: int = 25) -> Topics:
-    return cluster([t.encode() for t in sampling.texts(docs, most, text_col)], topics, rounds)
-
-
-def cluster(texts: list[bytes], topics: int = TOPICS, rounds: int = 25) -> Topics:
-    """Spherical k-means; the first centres are texts drawn by their squared distance from those before, and an empty cluster takes the worst placed text."""
-    _, of, slot, weight = terms(texts)
-    seen = np.bincount(slot, minlength=TOPIC_SLOTS)
-    idf = np.log((len(texts) + 1) / (seen + 1)) + 1e-3
-    x = np.zeros((len(texts), TOPIC_SLOTS))
-    x[of, slot] = weight * idf[slot]
-    length = np.linalg.norm(x, axis=1)
-    x = x[length > 0] / length[length > 0, None]
-    centres = np.zeros((topics, TOPIC_SLOTS))
-    if len(x):
-        draw = np.random.RandomState(len(x))
-        centres[0] = x[0]
-        for k in range(1, topics):
-            far = np.maximum(1 - (x @ centres[:k].T).max(axis=1), 1e-9) ** 2
-            centres[k] = x[draw.choice(len(x), p=far / far.sum())]
-    for _ in range(rounds if len(x) else 0):
-        near = x @ centres.T
-        own = near.argmax(axis=1)
-        for k in range(topics):
-            members = x[own == k]
-            centre = members.sum(axis=0) if len(members) else x[near.max(axis=1).argmin()]
-            centres[k] = centre / max(np.linalg.norm(centre), 1e-12)
-    if len(x):
-        sizes = np.bincount((x @ centres.T).argmax(axis=1), minlength=topics)
-        centres = centres[np.argsort(-sizes, kind="stable")]
-    return Topics(idf, centres)
+        return n_words, products(len(texts), of, slot, weight * self.idf[slot], self.centres).argmax(axis=1)
+
+
+def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, rounds: int = 25) -> Topics:
+    """Fits on all rows of ``docs``."""
+    scratch = Scratch(docs.sparkSession)
+    stored = scratch.save(vectors(docs, text_col))
+    model = cluster(stored, topics, rounds)
+    scratch.drop(stored)
+    return model
+
+
+#: Columns of a row's vector: hash of the text, and slots and counts (of words, or of parts of one) as arrays of SLOT and COUNT.
+VECTOR = ("hash", "slots", "counts")
+SLOT, COUNT = np.dtype("<u2"), np.dtype("<u4")
+
+
+def packed(size: np.ndarray, values: np.ndarray, kind: np.dtype) -> pa.Array:
+    """A column of arrays of these sizes, laid end to end in ``values``."""
+    ends = np.append(0, np.cumsum(size)) * kind.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.astype(kind))])
+
+
+def vectors(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), words: str = "words") -> DataFrame:
+    """The columns ``keep``, words and vector of every row; the vector's columns are the last."""
+    kinds = dict(docs.dtypes)
+    *vector, text = unused([*keep, words], *VECTOR, "text")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(stream, SLICE_BYTES):
+            n, of, slot, count = counts(texts)
+            size = np.bincount(of, minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n), batch.columns[-2], packed(size, slot, SLOT), packed(size, count, COUNT)], [*keep, words, *vector])
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{words}` bigint, `{vector[0]}` bigint, `{vector[1]}` binary, `{vector[2]}` binary"])
+    return docs.select(*keep, F.xxhash64(text_col).alias(vector[0]), F.col(text_col).alias(text)).mapInArrow(run, schema)
+
+
+def numbers(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(length of each array, their elements) of a column of packed arrays without nulls."""
+    column = column.cast(pa.binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return np.diff(ends) // kind.itemsize, data[ends[0] : ends[-1]].view(kind)
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot and weight 1 + ln(count)) of each long word; the vector's columns are the last."""
+    size, slot = numbers(batch.column(batch.num_columns - 2), SLOT)
+    _, count = numbers(batch.column(batch.num_columns - 1), COUNT)
+    return np.repeat(np.arange(batch.num_rows), size), slot.astype(np.int64), 1 + np.log(count)
+
+
+def units(stored: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The vectors that are not empty, by tf-idf and of length one, in parts of one."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            batch = batch.filter(pa.array(numbers(batch.column(1), SLOT)[0] > 0))
+            of, slot, weight = unpacked(batch)
+            x = weight * idf[slot]
+            x /= np.sqrt(np.bincount(of, weights=x * x, minlength=batch.num_rows))[of]
+            part = packed(np.bincount(of, minlength=batch.num_rows), np.rint(x * ONE), COUNT)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], part], batch.schema.names)
+
+    vector = stored.select(*stored.columns[-3:])
+    return vector.mapInArrow(run, vector.schema)
+
+
+def laid_out(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the rows, with their vectors by slot."""
+    for at in range(0, batch.num_rows, ROWS):
+        rows = batch.slice(at, ROWS)
+        size, slot = numbers(rows.column(1), SLOT)
+        x = np.zeros(rows.num_rows * TOPIC_SLOTS)
+        x[np.repeat(np.arange(rows.num_rows) * TOPIC_SLOTS, size) + slot] = numbers(rows.column(2), COUNT)[1]
+        yield rows, x.reshape(-1, TOPIC_SLOTS)
+
+
+#: What a task tells of its rows: whole numbers to be summed, and rows of which the one of the smallest key is wanted.
+FOUND = "a int, b int, total bigint, best struct<key: double, hash: bigint, slots: binary, counts: binary>"
+
+
+class Found:
+    """Numbers and rows that a task has found, under pairs of numbers."""
+
+    SCHEMA = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("total", pa.int64()), ("best", pa.struct([("key", pa.float64()), ("hash", pa.int64()), ("slots", pa.binary()), ("counts", pa.binary())]))])
+
+    def __init__(self):
+        self.totals: dict[int, np.ndarray] = {}
+        self.best: dict[tuple[int, int], tuple] = {}
+
+    def add(self, a: int, totals: np.ndarray) -> None:
+        totals = totals.astype(np.int64)
+        self.totals[a] = self.totals[a] + totals if a in self.totals else totals
+
+    def offer(self, a: int, b: int, batch: pa.RecordBatch, keys: np.ndarray) -> None:
+        """The row of the smallest key; of equals that of the smallest hash."""
+        least = np.flatnonzero(keys == keys.min())
+        h = batch.column(0).to_numpy()[least]
+        i, place = int(least[h.argmin()]), (float(keys.min()), int(h.min()))
+        if (a, b) not in self.best or place < self.best[a, b][:2]:
+            self.best[a, b] = (*place, batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for a, totals in self.totals.items():
+            b = np.flatnonzero(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a), pa.int32()), pa.array(b, pa.int32()), pa.array(totals[b]), pa.nulls(len(b), self.SCHEMA.field("best").type)], schema=self.SCHEMA)
+        rows = [{"a": a, "b": b, "best": dict(zip(("key", *VECTOR), row, strict=True))} for (a, b), row in self.best.items()]
+        yield pa.RecordBatch.from_pylist(rows, self.SCHEMA)
+
+
+def gather(stored: DataFrame, look: Callable[[Found, pa.RecordBatch], None]) -> tuple[dict, dict]:
+    """Sums and best rows over all of a table of vectors."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found()
+        for batch in stream:
+            if batch.num_rows:
+                look(found, batch)
+        yield from found.batches()
+
+    rows = stored.select(*stored.columns[-3:]).mapInArrow(run, FOUND).groupBy("a", "b").agg(F.sum("total").alias("total"), F.min("best").alias("best")).collect()
+    return {(r.a, r.b): r.total for r in rows if r.total is not None}, {(r.a, r.b): r.best for r in rows if r.best is not None}
+
+
+def draw(found: Found, a: int, batch: pa.RecordBatch, rate: np.ndarray) -> None:
+    """Offers rows for ``DRAWS`` draws by ``rate``: the first of exponential times that are set by the text's hash."""
+    h = batch.column(0).to_numpy().view(np.uint64)
+    for b in range(DRAWS):
+        u = ((scramble(h ^ scramble(U(b + 1))) >> U(11)).astype(float) + 0.5) / (1 << 53)
+        found.offer(a, b, batch, -np.log(u) / rate)
+
+
+def point(row) -> np.ndarray:
+    """A found unit vector, by slot."""
+    out = np.zeros(TOPIC_SLOTS)
+    out[np.frombuffer(row.slots, SLOT)] = np.frombuffer(row.counts, COUNT)
+    return out
+
+
+def cluster(stored: DataFrame, topics: int = TOPICS, rounds: int = 25) -> Topics:
+    """Spherical k-means over a table of vectors of counts.
+
+    For each first centre texts are drawn by their squared distance from those before, and
+    the one that leaves the least distance is taken; an empty cluster takes the worst
+    placed text.
+    """
+
+    def frequencies(found, batch):
+        size, slot = numbers(batch.column(1), SLOT)
+        found.add(0, np.bincount(slot, minlength=TOPIC_SLOTS))
+        found.add(1, np.array([np.count_nonzero(size)]))
+
+    total, _ = gather(stored, frequencies)
+    n = total.get((1, 0), 0)
+    idf = np.log((n + 1) / (np.array([total.get((0, s), 0) for s in range(TOPIC_SLOTS)]) + 1)) + 1e-3
+    if not n:
+        return Topics(idf, np.zeros((topics, TOPIC_SLOTS)))
+    scratch = Scratch(stored.sparkSession)
+    unit = scratch.save(units(stored, idf))
+    _, best = gather(unit, lambda found, batch: draw(found, 0, batch, np.ones(batch.num_rows)))
+    centres = np.zeros((0, TOPIC_SLOTS))
+    for k in range(topics):
+        drawn = np.stack([point(best[key]) for key in sorted(best)])
+
+        def choose(found, batch, tried=np.concatenate([centres, drawn]), k=k):
+            near = np.concatenate([x @ tried.T for _, x in laid_out(batch)]) / ONE**2
+            for i in range(k, len(tried)):
+                far = np.maximum(1 - near[:, [*range(k), i]].max(axis=1), 1e-9)
+                found.add(i - k, np.array([np.rint(far * ONE).astype(np.int64).sum()]))
+                draw(found, i - k, batch, far**2)
+
+        total, following = gather(unit, choose)
+        taken = min(range(len(drawn)), key=lambda i: (total.get((i, 0), 0), i))
+        centres = np.concatenate([centres, drawn[[taken]]])
+        best = {key: row for key, row in following.items() if key[0] == taken}
+
+    def assign(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Size of each cluster, and the centres that its texts make."""
+
+        def look(found, batch):
+            for rows, x in laid_out(batch):
+                near = x @ centres.T
+                member = near.argmax(axis=1) == np.arange(topics)[:, None]
+                found.add(0, (member.astype(float) @ x).ravel())
+                found.add(1, member.sum(axis=1))
+                found.offer(2, 0, rows, near.max(axis=1))
+
+        total, best = gather(unit, look)
+        sums = np.zeros(topics * TOPIC_SLOTS)
+        for (a, b), x in total.items():
+            if a == 0:
+                sums[b] = x
+        sums = sums.reshape(topics, TOPIC_SLOTS)
+        sizes = np.array([total.get((1, k), 0) for k in range(topics)])
+        sums[sizes == 0] = point(best[2, 0])
+        return sizes, np.rint(sums / np.linalg.norm(sums, axis=1, keepdims=True) * ONE)
+
+    settled = False
+    for _ in range(rounds):
+        sizes, moved = assign(centres)
+        if settled := np.array_equal(moved, centres):
+            break
+        centres = moved
+    if not settled:
+        sizes, _ = assign(centres)
+    scratch.drop(unit)
+    return Topics(idf, centres[np.argsort(-sizes, kind="stable")] / ONE)
+
+
+def assigned(stored: DataFrame, model: Topics, topic: str = "topic") -> DataFrame:
+    """A table of vectors with the topic of every row in place of its vector."""
+    shared = stored.sparkSession.sparkContext.broadcast(model)
+    kinds = dict(stored.dtypes)
+    own = stored.columns[:-3]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            of, slot, weight = unpacked(batch)
+            near = products(batch.num_rows, of, slot, weight * shared.value.idf[slot], shared.value.centres).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array([f"t{k}" for k in near])], [*own, topic])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in own) + f", `{topic}` string"
+    return stored.select(*own, *stored.columns[-2:]).mapInArrow(run, schema)
 
 
 def with_topics(docs: DataFrame, model: Topics, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("words", "topic")) -> DataFrame:
@@ -212,7 +421,13 @@ def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: f
     """
     own = tuple(c for c in targets if c != "topic")
     names = ("words", "topic")
-    counted = Scratch(docs.sparkSession).save(with_topics(docs, topics or fit_topics(docs, text_col), id_col, text_col, own))
+    scratch = Scratch(docs.sparkSession)
+    if topics:
+        counted = scratch.save(with_topics(docs, topics, id_col, text_col, own))
+    else:
+        stored = scratch.save(vectors(docs, text_col, (id_col, *own)))
+        counted = scratch.save(assigned(stored, cluster(stored)))
+        scratch.drop(stored)
     out = _drawn(counted, targets, fit(counted, targets, share).cells, seed, id_col, names, ("probability", "kept"))
     return out.withColumn("weight", F.when(F.col("kept"), 1 / F.col("probability")))
 
