@@ -38,7 +38,7 @@ from sievelight.llm.hashing import U, Words, batches
 from sievelight.llm.hashing import mix as scramble
 from sievelight.llm.scratch import Scratch, unused
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 OTHER = "*"
 TOPICS = 8
 LONG_WORD = 6
@@ -319,6 +319,16 @@ def assigned(stored: DataFrame, model: Topics, topic: str = "topic") -> DataFram
     return stored.select(*own, *stored.columns[-2:]).mapInArrow(run, schema)
 
 
+def fitted(docs: DataFrame, text_col: str, keep: tuple[str, ...], topics: Topics | None = None) -> tuple[Topics, DataFrame]:
+    """The topics, fitted on all rows if none are given, and a stored table of the columns ``keep``, words and topic of every row."""
+    scratch = Scratch(docs.sparkSession)
+    stored = scratch.save(vectors(docs, text_col, keep))
+    model = topics or cluster(stored)
+    out = scratch.save(assigned(stored, model))
+    scratch.drop(stored)
+    return model, out
+
+
 def with_topics(docs: DataFrame, model: Topics, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("words", "topic")) -> DataFrame:
     """``id_col``, the columns ``keep``, and words and topic (under ``names``) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -421,13 +431,7 @@ def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: f
     """
     own = tuple(c for c in targets if c != "topic")
     names = ("words", "topic")
-    scratch = Scratch(docs.sparkSession)
-    if topics:
-        counted = scratch.save(with_topics(docs, topics, id_col, text_col, own))
-    else:
-        stored = scratch.save(vectors(docs, text_col, (id_col, *own)))
-        counted = scratch.save(assigned(stored, cluster(stored)))
-        scratch.drop(stored)
+    _, counted = fitted(docs, text_col, (id_col, *own), topics)
     out = _drawn(counted, targets, fit(counted, targets, share).cells, seed, id_col, names, ("probability", "kept"))
     return out.withColumn("weight", F.when(F.col("kept"), 1 / F.col("probability")))
 
@@ -435,8 +439,8 @@ def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: f
 def keep(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float = 0.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", topics: Topics | None = None) -> DataFrame:
     """The rows of ``docs`` that ``sample`` keeps: texts pass through the draw, so none is shuffled."""
     own = tuple(c for c in targets if c != "topic")
-    topics = topics or fit_topics(docs, text_col)
-    cells = fit(with_topics(docs, topics, id_col, text_col, own), targets, share).cells
+    topics, counted = fitted(docs, text_col, own, topics)
+    cells = fit(counted, targets, share).cells
     words, topic, probability, kept = unused(docs.columns, "words", "topic", "probability", "kept")
     carried = with_topics(docs, topics, id_col, text_col, tuple(c for c in docs.columns if c != id_col), (words, topic))
     return _drawn(carried, targets, cells, seed, id_col, (words, topic), (probability, kept)).where(kept).select(*docs.columns)

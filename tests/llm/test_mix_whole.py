@@ -60,6 +60,21 @@ def test_stored_vectors_give_the_topics_of_texts(many):
     assert got == {tuple(r) for r in mix.with_topics(df, model).collect()}
 
 
+def test_pipeline_mixes_by_topics_of_all_rows(spark, many, monkeypatch):
+    import corpus_pipeline
+
+    rows, df = many
+    docs = df.selectExpr("doc_id", "text", "'en' lang", "'src0' source", "length(text) n_chars")
+    models, with_topics = [], mix.with_topics
+    monkeypatch.setattr(mix, "with_topics", lambda docs, model, *a, **k: models.append(model) or with_topics(docs, model, *a, **k))
+    kept = {r.doc_id for r in corpus_pipeline.mixing(spark, docs, "").collect()}
+    seen = collections.Counter(s for _, t in rows for s in mix.terms([(t or "").encode()])[2].tolist())
+    want = [np.log(2601 / (seen[s] + 1)) + 1e-3 for s in range(mix.TOPIC_SLOTS)]
+    assert models and all(np.allclose(m.idf, want, rtol=1e-12) for m in models)
+    sampled = mix.sample(docs, corpus_pipeline.MIXTURE, corpus_pipeline.SAMPLE_SHARE)
+    assert kept == {r.doc_id for r in sampled.where("kept").collect()}
+
+
 def test_fewer_texts_than_topics(spark):
     df = spark.createDataFrame([(1, "lonely wording"), (2, "lonely wording"), (3, "another sentence")], "doc_id bigint, text string")
     topics = {r.doc_id: r.topic for r in mix.with_topics(df, mix.fit_topics(df)).collect()}
