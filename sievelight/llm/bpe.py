@@ -23,9 +23,11 @@ columns of the input take no part; repeated rows are encoded once each.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import sys
+import threading
 import unicodedata
 from collections.abc import Iterator
 
@@ -203,8 +205,12 @@ class Bpe:
         return [c.encode("latin-1") for c in chars.split(END_CHAR)[:-1]]
 
 
+#: Seconds without a task after which a worker gives up its encoder: the process lives on for whatever runs next.
+IDLE_S = 5.0
 #: The encoder of this worker process, and what it was made for; tasks that follow each other share it.
 _held: tuple[str, Bpe] | None = None
+_rest: threading.Timer | None = None
+_lock = threading.Lock()
 
 
 def encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Bpe:
@@ -214,6 +220,30 @@ def encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Bpe:
     return _held[1]
 
 
+def take_up() -> None:
+    """A task begins: what is held stays."""
+    global _rest
+    with _lock:
+        _rest = None
+
+
+def put_down() -> None:
+    """A task has ended: what is held goes, unless another one begins in time."""
+    global _rest
+    with _lock:
+        _rest = threading.Timer(IDLE_S, _give_up)
+        _rest.daemon = True
+        _rest.start()
+
+
+def _give_up() -> None:
+    global _held, _rest
+    with _lock:
+        if _rest is threading.current_thread():
+            _held = _rest = None
+            gc.collect()
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every whole text.
 
@@ -231,6 +261,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     schema = f"`{id_col}` {kind}, n_tokens bigint, n_bytes bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids string" * with_ids
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_up()
+        try:
+            yield from encoded(stream)
+        finally:
+            put_down()
+
+    def encoded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in batches(stream, SLICE_BYTES):
             bpe = encoder(key, ranks.value, pattern)
             ids = bpe.encode([t.decode() for t in raw])
