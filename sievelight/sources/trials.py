@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -41,16 +42,26 @@ def age_years(text: Column, default: float) -> Column:
     return F.when(low.rlike(form), F.round(F.regexp_extract(low, form, 1).try_cast("double") * scale, 3)).otherwise(F.lit(default))
 
 
-def split_criteria(text: Column) -> tuple[Column, Column]:
+def in_ascii(form: str) -> str:
+    """The expression as RE2 reads it: white space, digits and ends of words are those of ASCII, and a long s is an s."""
+    for a, b in (("(?U)", ""), ("\\s", "[\\t\\n\\f\\r ]"), ("\\d", "[0-9]"), ("\\b", "(?![0-9A-Za-z_])")):
+        form = form.replace(a, b)
+    return re.sub("(?<!\\\\)s", "[s\u017f]", form)
+
+
+def split_criteria(text: Column, plain: bool = False) -> tuple[Column, Column]:
     """(inclusion, exclusion) of a criteria text.
 
     What follows the first exclusion header is exclusion; inclusion items that
-    begin with a negation go there too, without the negation.
+    begin with a negation go there too, without the negation.  ``plain`` reads as
+    DuckDB's SQL does: in ASCII (a "No" before a letter that is not ASCII is a word),
+    and the exclusion ends at a second header.
     """
-    parts = F.split(text, EXCLUSION_HEAD, 2)
-    items = F.split(F.regexp_replace(parts[0], INCLUSION_HEAD, ""), BULLET, -1)
-    kept = F.filter(items, lambda x: ~x.rlike(NEGATED))
-    moved = F.transform(F.filter(items, lambda x: x.rlike(NEGATED)), lambda x: F.regexp_replace(x, NEGATED, ""))
+    exclusion_head, inclusion_head, bullet, negated = (in_ascii(x) if plain else x for x in (EXCLUSION_HEAD, INCLUSION_HEAD, BULLET, NEGATED))
+    parts = F.split(text, exclusion_head, -1 if plain else 2)
+    items = F.split(F.regexp_replace(parts[0], inclusion_head, ""), bullet, -1)
+    kept = F.filter(items, lambda x: ~x.rlike(negated))
+    moved = F.transform(F.filter(items, lambda x: x.rlike(negated)), lambda x: F.regexp_replace(x, negated, ""))
     after = F.trim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")))
     return F.trim(F.array_join(kept, " ")), F.trim(F.array_join(F.concat(F.array(after), moved), " "))
 
@@ -98,9 +109,9 @@ def parse_xml(records: DataFrame, xml: str = "xml") -> DataFrame:
     return r.select(*others, *[v.alias(k) for k, v in fields.items()]).where(F.col("id") != "")
 
 
-def criteria_stats(criteria: DataFrame, text: str = "criteria") -> DataFrame:
+def criteria_stats(criteria: DataFrame, text: str = "criteria", plain: bool = False) -> DataFrame:
     """Counts of records, criteria, headers, moved items and exclusions, in one pass."""
-    _, exclusion = split_criteria(F.col(text))
+    _, exclusion = split_criteria(F.col(text), plain)
     header = has_header(F.col(text))
     return criteria.agg(
         F.count(F.lit(1)).alias("trials"), F.count_if(F.col(text) != "").alias("criteria"), F.count_if(header).alias("header"),
