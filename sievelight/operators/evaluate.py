@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sievelight.operators.search import candidates, ranked, read, scanned, select_terms
 from sievelight.schema import Config
-from sievelight.session import new_folder, save
+from sievelight.session import new_folder, save, small
+from sievelight.sources.topics import Judged
 
 METRICS = ("ndcg10", "p10", "p10_lenient", "rr", "r1000", "excluded10", "judged10")
 DEPTH = 1000
@@ -21,19 +22,31 @@ def _gain() -> Column:
     return F.col("rel") / F.log2(F.col("rank") + 1)
 
 
-def ideal(qrels: DataFrame) -> DataFrame:
-    """(qid, idcg, n_eligible) of the judgements."""
-    w = Window.partitionBy("qid").orderBy(F.desc("rel"), "doc")
-    best = qrels.withColumn("rank", F.row_number().over(w))
-    return best.groupBy("qid").agg(F.sum(F.when(F.col("rank") <= 10, _gain()).otherwise(0.0)).alias("idcg"), F.count_if(F.col("rel") == 2).alias("n_eligible"))
+def ideal(qrels: DataFrame | Judged) -> DataFrame:
+    """(qid, idcg, n_eligible) of the judgements, from how many of each grade a query has: those of one grade are worth the same."""
+    counts = qrels.counts() if isinstance(qrels, Judged) else qrels.groupBy("qid", "rel").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("qid").orderBy(F.desc("rel")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1)
+    places = F.when(F.col("first") <= 10, F.sequence("first", F.least(F.col("first") + F.col("n") - 1, F.lit(10)))).otherwise(F.array().cast("array<bigint>"))
+    gain = F.aggregate(places, F.lit(0.0), lambda s, r: s + F.col("rel") / F.log2(r + 1))
+    return ranks.groupBy("qid").agg(F.sum(gain).alias("idcg"), F.coalesce(F.sum(F.when(F.col("rel") == 2, F.col("n"))), F.lit(0)).alias("n_eligible"))
 
 
-def metrics(run: DataFrame, qrels: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+def _beside(run: DataFrame, qrels: DataFrame | Judged) -> tuple[DataFrame, DataFrame]:
+    """A run and the judgements (qid, doc, rel) of its records, at least; the run is stored where it is read twice for that."""
+    if not isinstance(qrels, Judged):
+        return run, qrels.select("qid", "doc", "rel")
+    run = save(run, new_folder(run.sparkSession))
+    return run, small(qrels.of(run.select("qid", "doc").distinct()))
+
+
+def metrics(run: DataFrame, qrels: DataFrame | Judged, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Metrics of each query of a run (qid, doc, rank); records without a judgement count as not relevant.
 
     ``by`` may name more columns that tell systems apart.
     """
-    judged = run.where(F.col("rank") <= DEPTH).join(qrels.select("qid", "doc", F.col("rel").alias("grade")), ["qid", "doc"], "left")
+    run, grades = _beside(run.where(F.col("rank") <= DEPTH), qrels)
+    judged = run.join(grades.withColumnRenamed("rel", "grade"), ["qid", "doc"], "left")
     judged = judged.withColumn("rel", F.coalesce("grade", F.lit(0)))
     top = F.col("rank") <= 10
     sums = judged.groupBy(*by).agg(
@@ -50,10 +63,11 @@ def metrics(run: DataFrame, qrels: DataFrame, by: tuple[str, ...] = ("qid",)) ->
     return joined.select(*by, ratio(F.col("dcg"), F.col("idcg")).alias("ndcg10"), "p10", "p10_lenient", "rr", ratio(F.col("found").cast("double"), F.col("n_eligible").cast("double")).alias("r1000"), "excluded10", "judged10")
 
 
-def condensed(run: DataFrame, qrels: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+def condensed(run: DataFrame, qrels: DataFrame | Judged, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """The run's judged records only, numbered anew."""
     w = Window.partitionBy(*by).orderBy("rank")
-    return run.join(qrels.select("qid", "doc"), ["qid", "doc"], "left_semi").withColumn("rank", F.row_number().over(w))
+    run, grades = _beside(run, qrels)
+    return run.join(grades.select("qid", "doc"), ["qid", "doc"], "left_semi").withColumn("rank", F.row_number().over(w))
 
 
 def means(per_query: DataFrame, by: tuple[str, ...] = ("system",)) -> DataFrame:
@@ -275,7 +289,8 @@ def write_results(table: DataFrame, path: str) -> None:
 def walkthrough(before: DataFrame, after: DataFrame, qrels: DataFrame, notes: DataFrame, most_chars: int = 700) -> DataFrame:
     """(qid, gain) of the short note that gains most between two runs: eligible records won plus excluded ones lost in the first ten; of equals the first."""
     side = lambda run, sign: run.where(F.col("rank") <= 10).select("qid", "doc", F.lit(sign).alias("sign"))
-    both = side(before, -1).union(side(after, 1)).join(qrels, ["qid", "doc"])
+    run, grades = _beside(side(before, -1).union(side(after, 1)), qrels)
+    both = run.join(grades, ["qid", "doc"])
     worth = F.when(F.col("rel") == 2, 1).when(F.col("rel") == 1, -1).otherwise(0)
     gains = both.groupBy("qid").agg(F.sum(worth * F.col("sign")).alias("gain"))
     short = notes.where(F.length("note") < most_chars).select("qid").join(gains, "qid", "left").na.fill(0, ["gain"])
@@ -326,7 +341,7 @@ class Trial:
 
     def __init__(self, notes: DataFrame, ix, qrels: DataFrame):
         self.readings, self.ix, self.known = Readings(notes, ix), ix, {}
-        self.qrels = save(qrels, new_folder(qrels.sparkSession))
+        self.qrels = qrels if isinstance(qrels, Judged) else save(qrels, new_folder(qrels.sparkSession))
 
     def many(self, settings: list[Config]) -> list[float]:
         new = [c for c in dict.fromkeys(settings) if c not in self.known]
